@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proseline.llm import chat, packing, sharding
+from proseline.llm import chat, decontamination, packing, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_sharding": sharding.op3_sharding,
         "op4_chat_formatting": chat.op4_chat_formatting,
+        "op5_decontamination": decontamination.op5_decontamination,
+        "op7_token_output": tokens.op7_token_output,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.ORACLE_OP4}
+    return {
+        "op4_chat_formatting": chat.ORACLE_OP4,
+        "op5_decontamination": decontamination.ORACLE_OP5,
+    }
