@@ -125,4 +125,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             break
     else:
         raise RuntimeError("components: links still change after the last round")
-    return links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    stars = links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    return stars.union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

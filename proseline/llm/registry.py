@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proseline.llm import chat, decontamination, packing, sharding, tokens
+from proseline.llm import chat, decontamination, packing, pii, sharding, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": sharding.op3_sharding,
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_decontamination": decontamination.op5_decontamination,
+        "op6_pii": pii.op6_pii,
         "op7_token_output": tokens.op7_token_output,
+        "op8_simhash": simhash.op8_simhash,
     }
 
 
