@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proseline.llm import chat, decontamination, embeddings, packing, pii, sharding, simhash, tokens
+from proseline.llm import chat, decontamination, embeddings, packing, pii, quality, sharding, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": pii.op6_pii,
         "op7_token_output": tokens.op7_token_output,
         "op8_simhash": simhash.op8_simhash,
+        "op9_quality_classifier": quality.op9_quality_classifier,
         "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
     }
 
@@ -26,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat_formatting": chat.ORACLE_OP4,
         "op5_decontamination": decontamination.ORACLE_OP5,
+        "op9_quality_classifier": quality.op9_quality_classifier,
         "op10_embedding_near_dedup": embeddings.ORACLE_OP10,
     }
