@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,67 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) - np.repeat(ends - counts, counts)
 
 
+_P = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def power_tables(n: int) -> list[np.ndarray]:
+    """P^i and P^-i modulo 2^64 for i up to n: with them, a prefix sum gives a hash of any run of bytes."""
+    if not _powers or len(_powers[0]) < n + 1:
+        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))), dtype=np.uint64) for base in (_P, pow(_P, -1, 1 << 64))]
+    return _powers
+
+
+def gaps(ascending: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as 16-bit steps; the largest step means: go on."""
+    steps = np.diff(ascending.astype(np.int64), prepend=0)
+    more = steps // 65535
+    out = np.full(int(more.sum()) + len(steps), 65535, np.uint16)
+    out[np.cumsum(more + 1) - 1] = steps - more * 65535
+    return out.tobytes()
+
+
+def from_gaps(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint16)
+    return np.cumsum(steps, dtype=np.int64)[steps != 65535]
+
+
+def pack_batches(df: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(batch, blob): rows with about ``size`` bytes of text each, compressed, dealt by batch.
+
+    A blob holds a struct of df's other columns and the text; see batch_rows(). One batch is a
+    whole number of rows, so a longer text is a batch of its own.
+    """
+    source = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row"), F.col(f"`{text_col}`").alias("text"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = task_id(), 0
+        for batch in batches:
+            _, offsets = utf8(batch.column(1))
+            for a, b in slices(offsets, size):
+                out = io.BytesIO()
+                some = batch.slice(a, b - a)
+                with pa.ipc.new_stream(out, some.schema) as w:
+                    w.write_batch(some)
+                blob = zstandard.ZstdCompressor(level=1).compress(out.getbuffer())
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq]), pa.array([blob], pa.binary())], ["batch", "blob"])
+                seq += 1
+
+    return source.mapInArrow(pack, "batch long, blob binary").repartition(shuffle_partitions(df.sparkSession), "batch")
+
+
+def batch_rows(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_next_batch()
+
+
+def compressed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def uncompressed(x: bytes, dtype: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype)
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest member of each node's component, for links a-b among 0..n-1."""
     label = np.arange(n, dtype=np.int64)

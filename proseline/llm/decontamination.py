@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import mix, ranges, utf8
+from proseline.llm.common import mix, power_tables, ranges, utf8
 
 WINDOW = 10
 #: Benchmark text that one pass searches for; a larger benchmark takes several passes.
@@ -23,14 +23,6 @@ _FOLD = np.zeros(256, np.uint8)
 _FOLD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = [*range(48, 58), *range(97, 123), *range(128, 256)]
 _FOLD[65:91] = range(97, 123)
 _P = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """P^i and P^-i modulo 2^64."""
-    if not _powers or len(_powers[0]) < n + 1:
-        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))), dtype=np.uint64) for base in (_P, pow(_P, -1, 1 << 64))]
-    return _powers
 
 
 def words(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +45,7 @@ def words(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + SEGMENT, "right")))
         low, high = int(starts[a]), int(ends[b - 1])
-        power, inverse = _power_tables(max(SEGMENT, high - low))
+        power, inverse = power_tables(max(SEGMENT, high - low))
         total = np.zeros(high - low + 1, np.uint64)
         np.cumsum(fold[low:high] * power[: high - low], dtype=np.uint64, out=total[1:])
         s, e = starts[a:b] - low, ends[a:b] - low

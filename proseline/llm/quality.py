@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import saved, shuffle_partitions, slices, task_id, utf8
+from proseline.llm.common import batch_rows, compressed, pack_batches, saved, slices, uncompressed, utf8
 
 #: Bytes of an n-gram. Five bytes and their counts are told apart by 40 bits.
 ORDER = 5
@@ -54,22 +52,14 @@ def shard_of(codes: np.ndarray) -> np.ndarray:
     return _PAIR_SHARD[((codes >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)]
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def _unpacked(x: bytes, dtype: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype)
-
-
 def _packed_codes(sorted_codes: np.ndarray) -> bytes:
     """Ascending numbers as steps, the steps' low and high bytes apart: most high ones are zero."""
     steps = np.diff(sorted_codes, prepend=np.uint64(0))
-    return _packed(steps.view(np.uint8).reshape(-1, 8).T)
+    return compressed(steps.view(np.uint8).reshape(-1, 8).T)
 
 
 def _unpacked_codes(x: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(_unpacked(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(uncompressed(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _sum_equal(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +177,7 @@ def train(texts: DataFrame) -> tuple[DataFrame, Lower]:
         def flush() -> Iterator[pa.RecordBatch]:
             codes, n = _sum_equal(*(np.concatenate(x) for x in zip(*held)))
             for s, at in _by_shard(codes):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed_codes(codes[at])]), pa.array([_packed(n[at])])], ["shard", "codes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed_codes(codes[at])]), pa.array([compressed(n[at])])], ["shard", "codes", "counts"])
 
         for batch in batches:
             body, offsets = utf8(batch.column(0))
@@ -204,9 +194,9 @@ def train(texts: DataFrame) -> tuple[DataFrame, Lower]:
 
     def merge(table: pa.Table) -> pa.Table:
         codes = [_unpacked_codes(x) for x in table.column("codes").to_pylist()]
-        counts = [_unpacked(x, np.int64) for x in table.column("counts").to_pylist()]
+        counts = [uncompressed(x, np.int64) for x in table.column("counts").to_pylist()]
         c, n = _sum_equal(np.concatenate(codes), np.concatenate(counts))
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "codes": [_packed_codes(c)], "counts": [_packed(n)]})
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "codes": [_packed_codes(c)], "counts": [compressed(n)]})
 
     form = "shard int, codes binary, counts binary"
     model = saved(texts.select("text").mapInArrow(count, form).groupBy("shard").applyInArrow(merge, form))
@@ -214,7 +204,7 @@ def train(texts: DataFrame) -> tuple[DataFrame, Lower]:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for codes, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rows = Shard(_unpacked_codes(codes), _unpacked(counts, np.int64)).statistics()
+                rows = Shard(_unpacked_codes(codes), uncompressed(counts, np.int64)).statistics()
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["level", "key", "n"])
 
     rows = model.mapInArrow(describe, "level long, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n")).collect()
@@ -229,33 +219,13 @@ def perplexities(df: DataFrame, model: DataFrame, lower: Lower, text_col: str =
     answers with their log probabilities; the batch adds them up for each text. The groups that
     answer hold one shard of the model and the requests of BATCHES_A_GROUP batches at most.
     """
-    spark = df.sparkSession
-    n = shuffle_partitions(spark)
-    others = [c for c in df.columns if c != text_col]
-    source = df.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col(f"`{text_col}`").alias("text"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = task_id(), 0
-        for batch in batches:
-            _, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, BATCH_BYTES):
-                out = io.BytesIO()
-                some = batch.slice(a, b - a)
-                with pa.ipc.new_stream(out, some.schema) as w:
-                    w.write_batch(some)
-                blob = zstandard.ZstdCompressor(level=1).compress(out.getbuffer())
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq]), pa.array([blob], pa.large_binary()).cast(pa.binary())], ["batch", "blob"])
-                seq += 1
-
-    def texts_of(blob: bytes) -> pa.RecordBatch:
-        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_next_batch()
-
-    packed = source.mapInArrow(pack, "batch long, blob binary").repartition(n, "batch")
+    kind = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")).schema["row"].dataType
+    packed = pack_batches(df, text_col, BATCH_BYTES)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for number, blob in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                body, offsets = utf8(texts_of(blob).column(1))
+                body, offsets = utf8(batch_rows(blob).column(1))
                 codes = grams(body, offsets)
                 codes.sort()
                 codes = codes[np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])] if len(codes) else codes
@@ -269,23 +239,21 @@ def perplexities(df: DataFrame, model: DataFrame, lower: Lower, text_col: str =
 
     def answer(requests: pa.Table, known: pa.Table) -> pa.Table:
         if len(known):
-            shard = Shard(_unpacked_codes(known.column("codes")[0].as_py()), _unpacked(known.column("counts")[0].as_py(), np.int64))
+            shard = Shard(_unpacked_codes(known.column("codes")[0].as_py()), uncompressed(known.column("counts")[0].as_py(), np.int64))
         else:
             shard = Shard(np.zeros(0, np.uint64), np.zeros(0, np.int64))
         scorer = Scorer(shard, lower)
         said = []
         for x in requests.column("codes").to_pylist():
             steps = np.rint(-scorer.log_probabilities(_unpacked_codes(x)) / STEP)
-            said.append(_packed(np.minimum(steps, 65535).astype(np.uint16)))
+            said.append(compressed(np.minimum(steps, 65535).astype(np.uint16)))
         return pa.table({"batch": requests.column("batch"), "shard": requests.column("shard"), "said": pa.array(said, pa.binary())})
 
     answers = asked.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(answer, "batch long, shard int, said binary")
-    kind = source.schema["row"].dataType
-
     def score(own: pa.Table, got: pa.Table) -> pa.Table:
         if not len(own):
             return pa.table({"row": pa.array([], row_type), "n_bytes": pa.array([], pa.int64()), "surprise": pa.array([], pa.float64())})
-        rows = texts_of(own.column("blob")[0].as_py())
+        rows = batch_rows(own.column("blob")[0].as_py())
         body, offsets = utf8(rows.column(1))
         sizes = np.diff(offsets)
         bits = max(1, int(len(rows)).bit_length())
@@ -297,7 +265,7 @@ def perplexities(df: DataFrame, model: DataFrame, lower: Lower, text_col: str =
         steps = np.zeros(len(distinct), np.float64)
         said = dict(zip(got.column("shard").to_pylist(), got.column("said").to_pylist(), strict=True))
         for s, at in _by_shard(distinct):
-            steps[at] = _unpacked(said[s], np.uint16)
+            steps[at] = uncompressed(said[s], np.uint16)
         each = np.repeat(steps * STEP, np.diff(np.append(head, len(codes))))
         surprise = np.bincount(text, weights=each, minlength=len(rows)) if len(rows) else np.zeros(0)
         return pa.table({"row": rows.column(0), "n_bytes": pa.array(sizes), "surprise": pa.array(surprise)})

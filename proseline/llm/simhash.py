@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import components, local_roots, mix, saved, shuffle_partitions, task_id, utf8
+from proseline.llm.common import components, from_gaps, gaps, local_roots, mix, saved, shuffle_partitions, task_id, utf8
 
 #: Fingerprints link at this many differing bits or fewer; each emits its ball of half of that.
 RADIUS = 4
@@ -57,20 +57,6 @@ def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = SHINGLE)
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fp long")
 
 
-def _gaps(sorted_values: np.ndarray) -> bytes:
-    """Ascending 32-bit numbers as 16-bit steps; the largest step means: go on."""
-    steps = np.diff(sorted_values.astype(np.int64), prepend=0)
-    more = steps // 65535
-    out = np.full(int(more.sum()) + len(steps), 65535, np.uint16)
-    out[np.cumsum(more + 1) - 1] = steps - more * 65535
-    return out.tobytes()
-
-
-def _from_gaps(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, np.uint16)
-    return np.cumsum(steps, dtype=np.int64)[steps != 65535]
-
-
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) links among the distinct 64-bit numbers of fps.fp that connect all that differ in RADIUS bits or fewer.
 
@@ -119,12 +105,12 @@ def links(fps: DataFrame) -> DataFrame:
                 full = np.flatnonzero(np.diff(cuts))
                 for a in range(0, len(full), 64):
                     some = full[a : a + 64].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([number] * len(some)), pa.array([_gaps(low[cuts[b] : cuts[b + 1]]) for b in some])], ["bucket", "batch", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([number] * len(some)), pa.array([gaps(low[cuts[b] : cuts[b + 1]]) for b in some])], ["bucket", "batch", "data"])
 
     def meet(table: pa.Table) -> pa.Table:
         """For each batch the hashes of this bucket that occur more than once."""
         bucket = table.column("bucket")[0].as_py() if len(table) else 0
-        lists = [_from_gaps(x) for x in table.column("data").to_pylist()]
+        lists = [from_gaps(x) for x in table.column("data").to_pylist()]
         owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         both = (np.concatenate(lists).astype(np.uint64) << np.uint64(31)) | owner.astype(np.uint64)
         both.sort()
