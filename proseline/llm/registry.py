@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proseline.llm import chat, decontamination, embeddings, packing, pii, quality, sharding, simhash, tokens
+from proseline.llm import chat, decontamination, embeddings, packing, pii, quality, repeats, sharding, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array_dedup": repeats.op1_suffix_array_dedup,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_sharding": sharding.op3_sharding,
         "op4_chat_formatting": chat.op4_chat_formatting,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_array_dedup": repeats.ORACLE_OP1,
         "op4_chat_formatting": chat.ORACLE_OP4,
         "op5_decontamination": decontamination.ORACLE_OP5,
         "op9_quality_classifier": quality.op9_quality_classifier,
