@@ -88,6 +88,8 @@ def ranges(counts: np.ndarray) -> np.ndarray:
 
 _P = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
+#: Bytes whose prefix sums are made at once.
+HASHED = 1 << 19
 
 
 def power_tables(n: int) -> list[np.ndarray]:
@@ -97,6 +99,26 @@ def power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power_tables(len(data))[0][: len(data)], dtype=np.uint64, out=total[1:])
+    return total
+
+
+def run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[begin:end], for ascending begins; the bytes between first and last are summed once."""
+    out = np.empty(len(begin), np.uint64)
+    a = 0
+    while a < len(begin):
+        b = max(a + 1, int(np.searchsorted(end, begin[a] + HASHED, "right")))
+        low = int(begin[a])
+        total = prefix_sums(data[low : int(end[b - 1])])
+        s, e = begin[a:b] - low, end[a:b] - low
+        out[a:b] = mix((total[e] - total[s]) * power_tables(len(total))[1][s] + (e - s).astype(np.uint64))
+        a = b
+    return out
+
+
 def gaps(ascending: np.ndarray) -> bytes:
     """Ascending 32-bit numbers as 16-bit steps; the largest step means: go on."""
     steps = np.diff(ascending.astype(np.int64), prepend=0)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import batch_rows, compressed, from_gaps, gaps, mix, pack_batches, power_tables, ranges, shuffle_partitions, slices, uncompressed, utf8
+from proseline.llm.common import batch_rows, compressed, from_gaps, gaps, mix, pack_batches, power_tables, prefix_sums, ranges, run_hashes, shuffle_partitions, slices, uncompressed, utf8
 
 #: Bytes of a string that counts when repeated; of the anchor that every such string contains.
 LENGTH, ANCHOR = 50, 24
@@ -45,7 +45,7 @@ class Windows:
         n = end - low
         if n < LENGTH:
             return none
-        total = _prefix(self.body[low:end])
+        total = prefix_sums(self.body[low:end])
         hashes = mix((total[ANCHOR:] - total[:-ANCHOR]) * power_tables(n)[1][: n - ANCHOR + 1])
         key = (hashes & ~np.uint64(0xFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)
         least, width = key, 1
@@ -81,26 +81,6 @@ def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         yield a, min(a + BLOCK, int(offsets[-1]))
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power_tables(len(data))[0][: len(data)], dtype=np.uint64, out=total[1:])
-    return total
-
-
-def run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[begin:end], for ascending begins; the bytes between first and last are summed once."""
-    out = np.empty(len(begin), np.uint64)
-    a = 0
-    while a < len(begin):
-        b = max(a + 1, int(np.searchsorted(end, begin[a] + 2 * BLOCK, "right")))
-        low = int(begin[a])
-        total = _prefix(data[low : int(end[b - 1])])
-        s, e = begin[a:b] - low, end[a:b] - low
-        out[a:b] = mix((total[e] - total[s]) * power_tables(len(total))[1][s] + (e - s).astype(np.uint64))
-        a = b
-    return out
-
-
 def _spread(anchor: np.ndarray, bits: int) -> np.ndarray:
     return anchor >> np.uint64(64 - bits)
 
@@ -412,7 +392,7 @@ def _anchors(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndar
         some = order[a : a + (1 << 12)]
         low, high = int(begin[some[0]]), int(begin[some[-1]]) + LENGTH
         w = data[low:high]
-        total = _prefix(w)
+        total = prefix_sums(w)
         grams = mix((total[ANCHOR:] - total[:-ANCHOR]) * power_tables(len(w))[1][: len(w) - ANCHOR + 1])
         at = (begin[some] - low)[:, None] + np.arange(LENGTH - ANCHOR + 1)[None, :]
         mine = grams[at]

@@ -189,8 +189,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """One document of each component, with all of its columns: that of the least id (ties and null ids: the least text hash and row)."""
-    found = near_duplicates(docs.select(id_col, text_col, F.monotonically_increasing_id().alias("__row")), id_col, text_col, shingle)
-    first = found.groupBy("component").agg(F.min(F.struct(F.col(f"row.`{id_col}`").isNull().alias("none"), F.col(f"row.`{id_col}`").alias("id"), F.col("row.__row").alias("row"))).alias("x"))
-    kept = first.select(F.col("x.row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    """One document of each component, with all of its columns: that of the least id.
+
+    Ties (null or repeated ids) are broken by the text's digest; of rows that are equal in id and
+    text one stays. Documents are told apart by id and digest, not by where they stand, so a
+    second reading of the input may be split into tasks in another way.
+    """
+    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+    found = near_duplicates(docs.select(id_col, text_col, digest.alias("digest")), id_col, text_col, shingle)
+    name = F.struct(F.col(f"row.`{id_col}`").isNull().alias("none"), F.col(f"row.`{id_col}`").alias("id"), F.col("row.digest").alias("digest"))
+    # A component without any id has no name; each of its fingerprints then stands for itself.
+    first = found.groupBy("component", F.when(F.col("component").isNull(), F.col("fp")).alias("own")).agg(F.min(name).alias("x"))
+    kept = first.select(F.col("x.id").alias("__id"), F.col("x.digest").alias("__digest"))
+    joined = docs.withColumn("__digest", digest).withColumn("__id", F.col(f"`{id_col}`")).join(
+        kept.select(F.col("__id").alias("__kept"), F.col("__digest").alias("__same")),
+        F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__same")),
+        "left_semi",
+    )
+    return joined.dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
