@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import saved, utf8
+from proseline.llm.common import saved, slices, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, least confidence of a pattern, and how many known instances it must have met.
@@ -19,6 +19,8 @@ ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 3
 SMOOTHING = 0.5
 #: Characters of a context word that count; longer words are told apart by no more.
 CONTEXT_CHARS = 40
+#: Bytes of text looked at together.
+SCANNED = 2 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -112,18 +114,20 @@ _CANDIDATES = "array<struct<start:int,end:int,instance:string,known:boolean,patt
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        body, offsets = utf8(batch.column(1))
-        marks = np.concatenate([[0], np.cumsum(_MAYBE[body], dtype=np.int64)])[offsets]
-        spans, some = [[]] * len(batch), [[]] * len(batch)
-        for i in np.flatnonzero(np.diff(marks)).tolist():
-            text = batch.column(1)[i].as_py()
-            base = base_spans(text)
-            spans[i] = [{"kind": k, "start": a, "end": b} for k, a, b in base]
-            some[i] = [{"start": a, "end": b, "instance": x, "known": known, "patterns": p} for a, b, x, known, p in candidates(text, base)]
-        kinds = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        seen = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("known", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kinds), pa.array(some, seen)], ["k", "base", "candidates"])
+    kinds = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    seen = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("known", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
+    for whole in batches:
+        body, offsets = utf8(whole.column(1))
+        for a, b in slices(offsets, SCANNED):
+            batch = whole.slice(a, b - a)
+            marks = np.searchsorted(np.flatnonzero(_MAYBE[body[offsets[a] : offsets[b]]]), offsets[a : b + 1] - offsets[a])
+            spans, some = [[]] * len(batch), [[]] * len(batch)
+            for i in np.flatnonzero(np.diff(marks)).tolist():
+                text = batch.column(1)[i].as_py()
+                base = base_spans(text)
+                spans[i] = [{"kind": k, "start": x, "end": y} for k, x, y in base]
+                some[i] = [{"start": x, "end": y, "instance": z, "known": known, "patterns": p} for x, y, z, known, p in candidates(text, base)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kinds), pa.array(some, seen)], ["k", "base", "candidates"])
 
 
 def bootstrap(seen: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
