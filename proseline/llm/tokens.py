@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,86 +14,130 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import ranges, shuffle_partitions, slices, task_id, use_shared_dir, utf8
+from proseline.llm.common import ranges, run_hashes, shuffle_partitions, slices, task_id, use_shared_dir, utf8
 
 END_ID = 2
 #: Text encoded at once, and pieces of text whose ids a worker remembers.
-BLOCK, REMEMBERED = 4 << 20, 1_000_000
-#: Distinct pieces that are encoded in one call.
-LINES = 4096
+BLOCK, REMEMBERED = 4 << 20, 1_200_000
 
-#: The tokenizer's own split of a text into pieces, for texts that _OTHER_TEXT finds nothing in:
-#: there both engines agree on every character class. Other texts go to the library whole.
-_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
-_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_OTHER_TEXT = re.compile("[^\t\n\r -~\xa1-ſ]|<\\|")
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+")
+#: Classes of bytes: blank, other white space, letter, number, other. A character beyond ASCII has the class of its first byte.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[32], _CLASS[[9, 10, 13]] = 0, 1
+_CLASS[[*range(65, 91), *range(97, 123), 0xC3, 0xC4, 0xC5]] = 2
+_CLASS[48:58] = 3
+#: Second bytes of the letters and numbers among U+00A1 to U+00BF, and of the signs among U+00C0 to U+00FF.
+_LETTERS_C2, _NUMBERS_C2, _SIGNS_C3 = (0xAA, 0xB5, 0xBA), (0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE), (0x97, 0xB7)
+_ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+_UNUSUAL = np.array([not (b in (9, 10, 13) or 32 <= b < 127 or 128 <= b < 192 or 194 <= b < 198) for b in range(256)])
+#: Byte-level BPE spells bytes that are no visible Latin-1 characters as those from U+0100 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_SPELT = np.arange(256, dtype="<u4")
+_SPELT[_HIDDEN] = 256 + np.arange(len(_HIDDEN))
+
+_UNUSUAL = np.array([not (b in (9, 10, 13) or 32 <= b < 127 or 128 <= b < 192 or 194 <= b < 198) for b in range(256)])
+
+
+def usual_texts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text, whether it has only tabs, line ends, visible ASCII and U+00A1 to U+017F, and no "<|"."""
+    odd = _UNUSUAL[body]
+    odd[:-1] |= ((body[:-1] == 0xC2) & (body[1:] <= 0xA0)) | ((body[:-1] == 60) & (body[1:] == 124))
+    return np.diff(np.searchsorted(np.flatnonzero(odd), offsets)) == 0
+
+
+def piece_starts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces begin that byte-level BPE cuts usual texts into.
+
+    These are contractions, and runs of letters, numbers or other signs with one blank before;
+    of white space before them, the last character stands apart.
+    """
+    cls = _CLASS[body]
+    two = np.flatnonzero(body[:-1] == 0xC2)
+    after = body[two + 1]
+    cls[two[np.isin(after, _LETTERS_C2)]] = 2
+    cls[two[np.isin(after, _NUMBERS_C2)]] = 3
+    two = np.flatnonzero(body[:-1] == 0xC3)
+    cls[two[np.isin(body[two + 1], _SIGNS_C3)]] = 4
+    inner = np.flatnonzero((body & 0xC0) == 0x80)
+    cls[inner] = cls[inner - 1]
+    first = np.zeros(len(body) + 1, bool)
+    first[offsets] = True
+    blank = cls <= 1
+    was, had = np.zeros(len(body), bool), np.full(len(body), 255, np.uint8)
+    was[1:], had[1:] = blank[:-1], cls[:-1]
+    was &= ~first[:-1]
+    begins = np.where(blank, ~was, np.where(was, had != 0, cls != had)) | first[:-1]
+    begins[:-1] |= blank[:-1] & ~blank[1:] & ~first[1:-1]
+    for ending in _ENDINGS:
+        n = len(ending)
+        at = np.flatnonzero(begins[: len(body) - n] & (body[: len(body) - n] == 39))
+        for k in range(n):
+            at = at[(body[at + 1 + k] == ending[k]) & ~first[at + 1 + k]]
+        begins[at + 1] = False
+        begins[(at + 1 + n)[at + 1 + n < len(body)]] = True
+    return np.flatnonzero(begins)
 
 
 class Encoder:
     """Encodes texts with a byte-level BPE tokenizer; each distinct piece of text is encoded once.
 
     Byte-level BPE never merges across pieces, so a text's ids are those of its pieces in order.
+    Pieces are told apart by 64-bit hashes. Texts with other characters than piece_starts() knows,
+    or that may hold a special token, go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.newline = newline[0] if len(newline) == 1 else None
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _encode_lines(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids and sizes of pieces without white space but a leading blank, encoded as the lines of one text."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join(pieces) + "\n"], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.flatnonzero(ids == self.newline)
-        return (np.delete(ids, ends), np.diff(ends, prepend=-1) - 1) if len(ends) == len(pieces) else None
-
-    def _learn(self, new: set[str]) -> None:
-        blank = [p for p in new if p.isspace()]
-        pieces = [*(new.difference(blank) if self.newline is not None else ()), *(blank if self.newline is not None else new)]
-        words = len(pieces) - len(blank) if self.newline is not None else 0
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for a in range(0, len(pieces), LINES):
-            some = pieces[a : min(a + LINES, words)] if a < words else []
-            lines = self._encode_lines(some) if some else None
-            rest = pieces[max(a, words) if lines else a : a + LINES]
-            found += [lines] if lines else []
-            if rest:
-                encoded = [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
-                found.append((np.fromiter((i for e in encoded for i in e), np.uint32), np.fromiter(map(len, encoded), np.int64, len(encoded))))
-        sizes = np.concatenate([n for _, n in found])
-        self.ids = np.concatenate([self.ids, *(i for i, _ in found)])
+        made = json.loads(self.tokenizer.to_str())
+        rule = made["pre_tokenizer"] or {}
+        #: Whether texts are cut by the usual rule of byte-level BPE; else all go to the library whole.
+        self.by_piece = made["normalizer"] is None and made["model"]["type"] == "BPE" and rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space") and all(x["content"].startswith("<|") for x in made["added_tokens"])
+        #: Hash of a piece -> its number; piece 0 has no ids.
+        self.number: dict[int, int] = {}
+        self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def _learn(self, body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """The library's model encodes a piece at once; its bytes are spelt as the model's characters."""
+        tokenize, sizes = self.tokenizer.model.tokenize, end - begin
+        spelt = _SPELT[body[np.repeat(begin, sizes) + ranges(sizes)]].tobytes().decode("utf-32-le")
+        ends = np.cumsum(sizes).tolist()
+        encoded = [[t.id for t in tokenize(spelt[a:b])] for a, b in zip([0, *ends], ends)]
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each text has."""
-        split = [None if _OTHER_TEXT.search(t) else _PIECE.findall(t) for t in texts]
-        if len(self.number) > REMEMBERED:
-            self.forget()
-        new = set().union(*(s for s in split if s)) - self.number.keys()
-        if new:
-            self._learn(new)
-        number = self.number
-        at = np.fromiter(map(number.__getitem__, chain.from_iterable(filter(None, split))), np.int64)
+
+    def encode(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in body, and how many each text has."""
+        usual = usual_texts(body, offsets) & self.by_piece
+        begin = piece_starts(body, offsets)
+        end = np.append(begin[1:], len(body))
+        distinct, sample, which = np.unique(run_hashes(body, begin, end), return_index=True, return_inverse=True)
+        pieces = np.searchsorted(begin, offsets)
+        before = len(self.begin)
+        names = distinct.tolist()
+        numbers = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(numbers < 0)
+        numbers[new] = before - 1 + np.arange(len(new))
+        self._learn(body, begin[sample[new]], end[sample[new]])
+        self.number.update(zip(distinct[new].tolist(), numbers[new].tolist(), strict=True))
+        at = np.where(np.repeat(usual, np.diff(pieces)), numbers[which], 0)
         sizes = self.begin[at + 1] - self.begin[at]
         ids = self.ids[np.repeat(self.begin[at], sizes) + ranges(sizes)]
-        pieces = np.fromiter((len(s) if s else 0 for s in split), np.int64, len(split))
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(pieces)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[pieces[1:]]
         counts = np.diff(ends, prepend=0)
-        whole = [i for i, s in enumerate(split) if s is None]
+        whole = np.flatnonzero(~usual).tolist()
         if whole:
-            runs, last = [], 0
-            for i, e in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            data, runs, last = memoryview(body), [], 0
+            for i, e in zip(whole, self.tokenizer.encode_batch([bytes(data[offsets[i] : offsets[i + 1]]).decode() for i in whole], add_special_tokens=False), strict=True):
                 runs += [ids[last : ends[i]], np.asarray(e.ids, np.uint32)]
                 last, counts[i] = ends[i], len(e.ids)
             ids = np.concatenate([*runs, ids[last:]])
+        if len(self.number) > REMEMBERED:  # what came first is kept: it is what is frequent
+            for name in distinct[new].tolist():
+                del self.number[name]
+            self.begin = self.begin[:before]
+            self.ids = self.ids[: self.begin[-1]]
         return ids, counts
 
 
@@ -186,9 +230,9 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str | None = None,
         own = f"{path}/.{name}-{uuid.uuid4().hex}"
         with store.open_output_stream(own) as out:
             for batch in batches:
-                _, offsets = utf8(batch.column(1))
+                body, offsets = utf8(batch.column(1))
                 for a, b in slices(offsets, BLOCK):
-                    ids, n = enc.encode([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])
+                    ids, n = enc.encode(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     ends = np.cumsum(n)
                     out.write(np.insert(ids, ends, end_id).astype(dtype))
                     counts.append(n + 1)
