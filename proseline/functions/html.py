@@ -132,11 +132,11 @@ def html_to_text(html: str | None) -> str | None:
     return render(found) if found is not None else None
 
 
-@F.arrow_udf("string")
-def _html_to_text(html: pa.Array) -> pa.Array:
-    return pa.array([html_to_text(x) for x in html.to_pylist()], pa.string())
-
-
 def clean_html(html: Column) -> Column:
     """The page's main text, cleaned with paragraphs kept apart. Only the parsing runs in Python."""
-    return TextCleaner().run(_html_to_text(html))
+
+    @F.arrow_udf("string")
+    def to_text(pages: pa.Array) -> pa.Array:
+        return pa.array([html_to_text(x) for x in pages.to_pylist()], pa.string())
+
+    return TextCleaner().run(to_text(html))
