@@ -19,7 +19,9 @@ SYMBOL = 10
 #: Shards that a bucket's strings are dealt to before their transforms are merged.
 SHARDS = 4
 #: Text of a batch, of a block that is hashed at once, and of the input for each bucket.
-BATCH_BYTES, BLOCK, BUCKET_BYTES = 8 << 20, 1 << 18, 6 << 20
+BATCH_BYTES, BLOCK, BUCKET_BYTES = 8 << 20, 1 << 16, 6 << 20
+#: Bytes of strings whose transforms are merged together; strings of one anchor are not parted.
+MERGED = 1 << 18
 #: An id for documents that have none: nothing is smaller than null, and null is smaller than nothing.
 NO_ID = np.iinfo(np.int64).max
 
@@ -55,17 +57,20 @@ class Windows:
             width *= 2
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
         at = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-        starts = low + np.arange(len(at))
-        text = np.searchsorted(self.offsets, starts, "right") - 1
-        valid = (starts < high) & (starts + LENGTH <= self.offsets[text + 1])
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1]) | ~valid[:-1]
-        new &= valid
-        stop = np.ones(len(at), bool)
-        stop[:-1] = new[1:] | ~valid[1:]
-        stop &= valid
-        first, last = np.flatnonzero(new), np.flatnonzero(stop)
-        return first + low, last + low, hashes[at[first]]
+        # The places where a text's windows end: LENGTH - 1 bytes before the next text.
+        edges = self.offsets[np.searchsorted(self.offsets, low, "right") : np.searchsorted(self.offsets, end, "right")] - low
+        valid = np.ones(len(at) + 1, bool)
+        valid[high - low :] = False
+        for e in edges.tolist():
+            valid[max(0, e - LENGTH + 1) : e] = False
+        change = np.ones(len(at) + 1, bool)
+        change[1:-1] = at[1:] != at[:-1]
+        change[edges[edges < len(at)]] = True
+        change[1:] |= ~valid[:-1]
+        first = np.flatnonzero(change[:-1] & valid[:-1])
+        last = np.flatnonzero(valid[:-1] & (change[1:] | ~valid[1:]))
+        # Anchors are least hashes, so small ones are common; mixed again, they spread evenly.
+        return first + low, last + low, mix(hashes[at[first]] ^ np.uint64(0x5851F42D4C957F2D))
 
     def contents(self, which: np.ndarray) -> np.ndarray:
         """A hash of each string's bytes."""
@@ -239,11 +244,22 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         bucket = table.column("bucket")[0].as_py()
         lists = [from_gaps(x) for x in table.column("data").to_pylist()]
         numbers = table.column("batch").to_pylist()
-        everything = np.sort(np.concatenate(lists))
-        shared = np.unique(everything[1:][everything[1:] == everything[:-1]])
-        base = np.uint64(bucket << low_bits)
-        found = [np.intersect1d(x, shared).astype(np.uint64) | base for x in lists]
-        return pa.table({"batch": pa.array(numbers, pa.int64()), "data": pa.array([compressed(x) for x in found], pa.binary())})
+        owner_bits = max(1, len(lists).bit_length())
+        both = (np.concatenate(lists).astype(np.uint64) << np.uint64(owner_bits)) | np.repeat(np.arange(len(lists), dtype=np.uint64), [len(x) for x in lists])
+        both.sort()
+        value = both >> np.uint64(owner_bits)
+        same = value[1:] == value[:-1]
+        shared = np.zeros(len(both), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        both, value = both[shared], value[shared]
+        once = np.ones(len(both), bool)
+        once[1:] = both[1:] != both[:-1]
+        owner, value = (both[once] & np.uint64((1 << owner_bits) - 1)).astype(np.int64), value[once] | np.uint64(bucket << low_bits)
+        order = np.argsort(owner.astype(np.uint16 if len(lists) < 1 << 16 else np.int64), kind="stable")
+        owner, value = owner[order], value[order]
+        head = np.flatnonzero(np.diff(owner, prepend=-1))
+        return pa.table({"batch": pa.array([numbers[owner[i]] for i in head], pa.int64()), "data": pa.array([compressed(value[i:j]) for i, j in zip(head, np.append(head[1:], len(owner)))], pa.binary())})
 
     def send(own: pa.Table, met: pa.Table) -> pa.Table:
         none = pa.table({"bucket": pa.array([], pa.int32()), "batch": pa.array([], pa.int64()), "sizes": pa.array([], pa.binary()), "ids": pa.array([], pa.binary()), "names": pa.array([], pa.binary()), "data": pa.array([], pa.binary())})
@@ -299,10 +315,19 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         edge = np.r_[True, anchor[order][1:] != anchor[order][:-1]]
         group = np.cumsum(edge) - 1
         several = order[np.bincount(group)[group] > 1]
-        if len(several):
-            some = data[np.repeat(begin[sample[several]], length[several]) + ranges(length[several])]
-            string, place, found = least_owners(some, np.concatenate([[0], np.cumsum(length[several])]), owner[several])
-            least[base[several[string]] + place] = found
+        at = 0
+        ends = np.cumsum(length[several])
+        groups = anchor[several]
+        while at < len(several):
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MERGED, "right"))
+            stop = max(stop, at + 1)
+            while stop < len(several) and groups[stop] == groups[stop - 1]:
+                stop += 1
+            here = several[at:stop]
+            some = data[np.repeat(begin[sample[here]], length[here]) + ranges(length[here])]
+            string, place, found = least_owners(some, np.concatenate([[0], np.cumsum(length[here])]), owner[here])
+            least[base[here[string]] + place] = found
+            at = stop
         # Runs of windows with the same least id, for each string.
         cut = np.ones(len(least), bool)
         cut[1:] = least[1:] != least[:-1]
