@@ -63,7 +63,7 @@ def unicode_sentence_ranges(text: str) -> list[Range]:
 
 _HIDE = [(python_pattern(p.replace(r"\p{L}", "").replace(r"\p{N}", "")), re.sub(r"\$(\d)", r"\\g<\1>", r)) for p, r in S.HIDE]
 _SHOW = [(re.compile(p), re.sub(r"\$(\d)", r"\\g<\1>", r)) for p, r in S.SHOW]
-_OVERWRITTEN, _SENTENCE = (regex.compile(p.replace(r"\z", r"\Z")) for p in (S.OVERWRITTEN, S.SENTENCE))
+_SENTENCE = regex.compile(S.SENTENCE.replace(r"\z", r"\Z"))
 
 
 def rule_sentences(text: str) -> list[str]:
@@ -71,7 +71,10 @@ def rule_sentences(text: str) -> list[str]:
     for pattern, replacement in _HIDE:
         text = pattern.sub(replacement, text)
     out = []
-    for s in _SENTENCE.findall(_OVERWRITTEN.sub("", text)):
+    found = _SENTENCE.findall(text)
+    for s, following in zip(found, [*found[1:], ""]):
+        if following[:1] in (".", "?", "!"):
+            continue
         for marker, shown in S.SHOW_TEXT:
             s = s.replace(marker, shown)
         for pattern, replacement in _SHOW:

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proseline.functions.cleaning import trim
+from proseline.functions.columns import let
 from proseline.functions.patterns import WHITE_SPACE_CLASS as WS
 
 # The substitutions that hide periods, in their order, and those that take them back.
@@ -31,8 +32,6 @@ HIDE = [
 SHOW_TEXT = [("&;&", "."), ("&&&", ".."), ("&@&", "."), ("&#&", "."), ("&-&", "."), ("&_&", "."), ("&*&", ".")]
 SHOW = [(r"&==&([.!?])", "$1)"), (r"&\^&([.!?])", "'$1\""), (r"&\*\*&([.!?])", "'$1\""), (r"&=&([.!?])", '$1"'), (r"&,&([.!?])", '$1"'), (r"&##&([.!?])", "$1'"), (r"&\$&([.!?])", '$1"')]
 
-#: What is lost: a pending sentence that another ender follows before any letter or number.
-OVERWRITTEN = r"[^.?!]*[.?!][^\p{L}\p{N}.?!]*(?=[.?!])"
 #: A sentence: up to an ender and what follows it before the next letter or number; or the rest.
 SENTENCE = r"([^.?!]*[.?!][^\p{L}\p{N}.?!]*|[^.?!]+\z)"
 
@@ -50,9 +49,13 @@ def _show(sentence: Column) -> Column:
 
 
 def split_text_into_sentences(text: Column, keep_separator: bool = True) -> Column:
-    """The sentences as they come out of the rules: lengths may differ from the text's. Without separators, both ends are trimmed."""
-    hidden = F.regexp_replace(_replace(text, HIDE), F.lit(OVERWRITTEN), F.lit(""))
-    return F.transform(F.regexp_extract_all(hidden, F.lit(SENTENCE), F.lit(1)), lambda s: _show(s) if keep_separator else trim(_show(s)))
+    """The sentences as they come out of the rules: lengths may differ from the text's. Without separators, both ends are trimmed.
+
+    A sentence that another ender follows before any letter or number is lost: the next piece starts with that ender.
+    """
+    found = F.regexp_extract_all(_replace(text, HIDE), F.lit(SENTENCE), F.lit(1))
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.coalesce(F.substring(F.try_element_at(ps, i + 2), 1, 1).isin(".", "?", "!"), F.lit(False)))
+    return F.transform(let(found, last), lambda s: _show(s) if keep_separator else trim(_show(s)))
 
 
 def sentence_ranges(text: Column) -> Column:
@@ -60,16 +63,20 @@ def sentence_ranges(text: Column) -> Column:
 
     They do not fit where their lengths do not add up to the text's, or a cut is inside a character.
     """
-    pieces = split_text_into_sentences(text)
-    ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array(F.octet_length(p) + F.coalesce(F.element_at(acc, -1), F.lit(0)))))
-    ranges = F.transform(ends, lambda e, i: F.struct(F.when(i == 0, 0).otherwise(F.element_at(ends, i)).alias("start"), e.alias("end")))
-    data = text.cast("binary")
-    whole = F.forall(ends, lambda e: F.octet_length(F.substring(data, e + 1, F.lit(1))).eqNullSafe(0) | ~F.hex(F.substring(data, e + 1, F.lit(1))).rlike("^[89AB]"))
-    fits = F.coalesce(F.element_at(ends, -1), F.lit(0)) == F.octet_length(text)
-    return F.when(text.isNotNull(), F.when(fits & whole, ranges).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
+    sizes = F.transform(split_text_into_sentences(text), F.octet_length)
+    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(n + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def placed(x: Column) -> Column:
+        ranges = F.transform(x["ends"], lambda e, i: F.struct(F.when(i == 0, 0).otherwise(F.element_at(x["ends"], i)).alias("start"), e.alias("end")))
+        next_byte = lambda e: F.hex(F.substring(x["data"], e + 1, F.lit(1)))
+        fits = F.coalesce(F.try_element_at(x["ends"], F.lit(-1)), F.lit(0)) == F.octet_length(x["data"])
+        return F.when(fits & ~F.exists(x["ends"], lambda e: next_byte(e).rlike("^[89AB]")), ranges).otherwise(none)
+
+    return F.when(text.isNotNull(), let(F.struct(ends.alias("ends"), text.cast("binary").alias("data")), placed))
 
 
 def raw_sentences(text: Column) -> Column:
     """The text's own bytes in each of sentence_ranges(), untrimmed."""
-    data = text.cast("binary")
-    return F.transform(sentence_ranges(text), lambda r: F.substring(data, r["start"] + 1, r["end"] - r["start"]).cast("string"))
+    cut = lambda x: F.transform(x["ranges"], lambda r: F.substring(x["data"], r["start"] + 1, r["end"] - r["start"]).cast("string"))
+    return let(text, lambda t: let(F.struct(sentence_ranges(t).alias("ranges"), t.cast("binary").alias("data")), cut))

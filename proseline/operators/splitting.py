@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseline.functions.cleaning import TextCleaner, trim, trim_start
+from proseline.functions.columns import let
 from proseline.functions.patterns import ORDER, Separator
 from proseline.functions.patterns import WHITE_SPACE_CLASS as WS
 from proseline.operators import segments
@@ -26,8 +27,7 @@ LAST_TOKEN = rf"(?s)([^{WS}]*{ALNUM}[^\p{{L}}\p{{N}}]*)\z"
 
 def _ends_trimmed(pieces: Column) -> Column:
     """Both ends trimmed, but for the end of the last piece, which ends the text; empty pieces are dropped."""
-    n = F.size(pieces)
-    return F.filter(F.transform(pieces, lambda p, i: F.when(i == n - 1, trim_start(p)).otherwise(trim(p))), lambda p: p != "")
+    return let(pieces, lambda ps: F.filter(F.transform(ps, lambda p, i: F.when(i == F.size(ps) - 1, trim_start(p)).otherwise(trim(p))), lambda p: p != ""))
 
 
 def _unicode_sentences(text: Column) -> Column:
@@ -40,19 +40,23 @@ def _unicode_sentences(text: Column) -> Column:
 
 def _from_last_word(token: Column) -> Column:
     """What a text's first token, with nothing before it, keeps: its last word and the rest."""
-    word = F.element_at(F.filter(F.regexp_extract_all(token, F.lit(f"({WORD})"), F.lit(1)), lambda w: w.rlike(ALNUM)), -1)
-    after = F.call_function("substring_index", token, word, F.lit(-1))
-    return F.coalesce(F.concat(word, after), token)
+    word = F.try_element_at(F.filter(F.regexp_extract_all(token, F.lit(f"({WORD})"), F.lit(1)), lambda w: w.rlike(ALNUM)), F.lit(-1))
+    return let(word, lambda w: F.coalesce(F.concat(w, F.call_function("substring_index", token, w, F.lit(-1))), token))
 
 
 def _words(text: Column) -> Column:
-    last = F.regexp_extract(text, LAST_TOKEN, 1)
-    head = F.substring(text, F.lit(1), F.char_length(text) - F.char_length(last))
-    tokens = F.filter(F.regexp_extract_all(head, F.lit(f"([^{WS}]+)"), F.lit(1)), lambda t: t.rlike(ALNUM))
-    opens = head.rlike(rf"^[^{WS}]*{ALNUM}")  # the first token has nothing before it
-    tokens = F.transform(tokens, lambda t, i: F.when((i == 0) & opens, _from_last_word(t)).otherwise(t))
-    alone = F.when(head == "", _from_last_word(last)).otherwise(last)
-    return F.when(text.isNotNull(), F.when(last == "", F.array().cast("array<string>")).otherwise(F.concat(tokens, F.array(alone))))
+    def cut(x: Column) -> Column:
+        return F.struct(x["last"].alias("last"), F.substring(x["text"], F.lit(1), F.char_length(x["text"]) - F.char_length(x["last"])).alias("head"))
+
+    def join(x: Column) -> Column:
+        tokens = F.filter(F.regexp_extract_all(x["head"], F.lit(f"([^{WS}]+)"), F.lit(1)), lambda t: t.rlike(ALNUM))
+        opens = x["head"].rlike(rf"^[^{WS}]*{ALNUM}")  # the first token has nothing before it
+        tokens = F.transform(tokens, lambda t, i: F.when((i == 0) & opens, _from_last_word(t)).otherwise(t))
+        last = F.when(x["head"] == "", _from_last_word(x["last"])).otherwise(x["last"])
+        return F.when(x["last"] == "", F.array().cast("array<string>")).otherwise(F.concat(tokens, F.array(last)))
+
+    parts = let(text, lambda t: F.struct(t.alias("text"), F.regexp_extract(t, LAST_TOKEN, 1).alias("last")))
+    return F.when(text.isNotNull(), let(let(parts, cut), join))
 
 
 def pieces(text: Column, separator: Separator) -> Column:
@@ -127,12 +131,13 @@ class TextSplitter:
         cleaned = clean_for(text, self.separator) if self.clean_text else text
         if Separator.SENTENCES_UNICODE in self._separators()[1:]:
             return _split_udf(self.separator.value)(cleaned)
-        found = None
-        for s in reversed(self._separators()):
-            texts = pieces(cleaned, s)
-            this = F.struct(F.lit(s.value).alias("separator"), texts.alias("texts"))
-            found = F.when(F.size(texts) > 1, this) if found is None else F.when(F.size(texts) > 1, this).otherwise(found)
-        return found
+        if self.separator is Separator.SENTENCES_UNICODE:
+            return _if_several(pieces(cleaned, self.separator), self.separator)
+        return let(cleaned, lambda t: F.coalesce(*(_if_several(pieces(t, s), s) for s in self._separators())))
+
+
+def _if_several(texts: Column, separator: Separator) -> Column:
+    return let(texts, lambda x: F.when(F.size(x) > 1, F.struct(F.lit(separator.value).alias("separator"), x.alias("texts"))))
 
 
 def _split_udf(first: str):  # noqa: ANN202

@@ -164,7 +164,7 @@ WITH c AS (SELECT doc_id, {_CLEAN_SPACE} AS t FROM documents),
 l AS (SELECT doc_id, t, regexp_extract(t, '([^{P.WHITE_SPACE_CLASS}]*{_A}{_NA}*)\\z', 1) AS fin FROM c),
 h AS (SELECT doc_id, fin, list_filter(regexp_extract_all(left(t, length(t) - length(fin)), '[^{P.WHITE_SPACE_CLASS}]+'), lambda x: regexp_matches(x, '{_A}')) AS toks,
         regexp_matches(t, '^[^{P.WHITE_SPACE_CLASS}]*{_A}') AS opens FROM l WHERE fin <> ''),
-w AS (SELECT doc_id, list_append(list_transform(toks, lambda x, i: CASE WHEN i = 1 AND opens THEN regexp_extract(x, '([\\p{{L}}\\p{{M}}\\p{{N}}_]+{_NA}*)\\z', 1) ELSE x END), fin) AS parts FROM h)
+w AS (SELECT doc_id, list_append(list_transform(toks, lambda x, i: CASE WHEN i = 1 AND opens THEN regexp_extract(x, '((?:[\\p{{L}}\\p{{M}}\\p{{N}}_]*[\\p{{L}}\\p{{M}}][.:])*[\\p{{L}}\\p{{M}}\\p{{N}}_]+{_NA}*)\\z', 1) ELSE x END), fin) AS parts FROM h)
 SELECT doc_id, unnest(range(0, len(parts)))::INTEGER AS split_idx, unnest(parts) AS text, length(unnest(parts))::INTEGER AS char_count FROM w WHERE len(parts) > 1
 """
 
@@ -193,8 +193,9 @@ def _uncleaned(spark: SparkSession, sf: str) -> DataFrame:
 @query("p13_split_again")
 def _again(spark: SparkSession, sf: str) -> DataFrame:
     lines = TextSplitter(recursive=False).on_single_newline().split_text(F.col("text"))
-    again = split_again(lines, Separator.LINES)
-    return _table(spark, sf, "documents").where(lines.isNotNull()).select("doc_id", F.transform(again, lambda x: F.coalesce(F.size(x), F.lit(0))).alias("n")).select("doc_id", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("n_splits"))
+    docs = _table(spark, sf, "documents").select("doc_id", lines.alias("lines")).where("lines is not null")
+    again = docs.select("doc_id", split_again(F.col("lines"), Separator.LINES).alias("again"))
+    return again.select("doc_id", F.array_join(F.transform("again", lambda x: F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)).cast("string")), ",").alias("n_splits"))
 
 
 _LINES_SQL = f"list_filter(list_transform(string_split({_CLEAN_LINES}, chr(10)), lambda x: {_TRIMMED}), lambda x: x <> '')"
@@ -289,8 +290,8 @@ _NATIVE = f"SELECT lang, length(p)::BIGINT AS c, len(regexp_extract_all(p, '[^{P
 
 @query(
     "x12_statistics_of_lines",
-    f"""SELECT lang, count(*) AS chunk_count, sum(t) // count(*) AS avg_token_size, max(t) AS largest_token_size, min(t) AS smallest_token_size, CAST(sum(t) AS BIGINT) AS all_chunks_token_count,
-sum(c) // count(*) AS avg_char_size, max(c) AS largest_char_size, min(c) AS smallest_char_size, CAST(sum(c) AS BIGINT) AS all_chunks_char_count FROM ({_NATIVE}) GROUP BY lang""",
+    f"""SELECT lang, count(*) AS chunk_count, CAST(sum(t) AS BIGINT) // count(*) AS avg_token_size, max(t) AS largest_token_size, min(t) AS smallest_token_size, CAST(sum(t) AS BIGINT) AS all_chunks_token_count,
+CAST(sum(c) AS BIGINT) // count(*) AS avg_char_size, max(c) AS largest_char_size, min(c) AS smallest_char_size, CAST(sum(c) AS BIGINT) AS all_chunks_char_count FROM ({_NATIVE}) GROUP BY lang""",
 )
 def _statistics_of_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = _table(spark, sf, "documents").select("lang", F.explode(pieces(clean_for(F.col("text"), Separator.LINES), Separator.LINES)).alias("text"))
