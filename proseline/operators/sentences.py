@@ -77,6 +77,17 @@ def sentence_ranges(text: Column) -> Column:
 
 
 def raw_sentences(text: Column) -> Column:
-    """The text's own bytes in each of sentence_ranges(), untrimmed."""
-    cut = lambda x: F.transform(x["ranges"], lambda r: F.substring(x["data"], r["start"] + 1, r["end"] - r["start"]).cast("string"))
-    return let(text, lambda t: let(F.struct(sentence_ranges(t).alias("ranges"), t.cast("binary").alias("data")), cut))
+    """The text's own bytes in each of sentence_ranges(), untrimmed.
+
+    Sentences that make up the text as they are need no offsets; these are worked out for the
+    few texts that only their lengths fit.
+    """
+
+    def own(x: Column) -> Column:
+        data = x["text"].cast("binary")
+        cut = lambda r: F.substring(data, r["start"] + 1, r["end"] - r["start"]).cast("string")
+        size = F.aggregate(x["pieces"], F.lit(0), lambda n, p: n + F.octet_length(p))
+        same, fits = F.array_join(x["pieces"], "") == x["text"], size == F.octet_length(x["text"])
+        return F.when(same, x["pieces"]).when(fits, F.transform(sentence_ranges(x["text"]), cut)).when(size >= 0, F.array().cast("array<string>"))
+
+    return let(let(text, lambda t: F.struct(t.alias("text"), split_text_into_sentences(t).alias("pieces"))), own)

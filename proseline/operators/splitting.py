@@ -152,24 +152,15 @@ def _split_udf(first: str):  # noqa: ANN202
     return run
 
 
-def split_again(texts: Column, separator: Separator) -> Column:
-    """Each piece split on by the separators finer than its own; pieces that cannot be split stay null in the result."""
+def split_again(text: Column, separator: Separator) -> Column:
+    """A piece split on by the separators finer than its own: a struct of the separator used and the texts, or null.
+
+    For a column of pieces, one a row, as split_rows() gives them: an array has to be exploded first.
+    """
     finer = Separator(separator).next()
     if finer is None:
-        return F.transform(texts, lambda t: F.lit(None).cast("array<string>"))
-    return _split_all_udf(finer.value)(texts)
-
-
-def _split_all_udf(first: str):  # noqa: ANN202
-    @F.arrow_udf("array<array<string>>")
-    def run(texts: pa.Array) -> pa.Array:
-        def one(t: str | None) -> list[str] | None:
-            found = None if t is None else segments.split_recursively(t, Separator(first))
-            return found and [t[a:b] for a, b in found[1]]
-
-        return pa.array([None if ts is None else [one(t) for t in ts] for ts in texts.to_pylist()], pa.list_(pa.list_(pa.string())))
-
-    return run
+        return F.lit(None).cast("struct<separator:string,texts:array<string>>")
+    return _split_udf(finer.value)(text)
 
 
 def split_indices(text: Column, separator: Separator) -> Column:
@@ -200,6 +191,7 @@ def split_rows(df: DataFrame, text_col: str, splitter: TextSplitter, keep: list[
 
     Only the kept columns and the splits pass the generator; the whole text does not.
     """
-    found = df.select(*keep, splitter.split(F.col(text_col)).alias("__split")).where("__split is not null")
-    rows = found.select(*keep, F.col("__split.separator").alias("separator"), F.posexplode("__split.texts").alias("split_idx", "text"))
-    return rows.withColumn("char_count", F.char_length("text"))
+    found = df.select(*keep, splitter.split(F.col(text_col)).alias("__split"))
+    rows = found.select(*keep, F.col("__split.separator").alias("separator"), F.posexplode_outer("__split.texts").alias("split_idx", "text"))
+    # Not posexplode(): the filter that Spark infers for it would split every text a second time.
+    return rows.where("split_idx is not null").withColumn("char_count", F.char_length("text"))

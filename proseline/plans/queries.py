@@ -21,6 +21,7 @@ from proseline.functions.urls import extract_urls
 from proseline.operators.chunking import TextChunker, chunk_rows
 from proseline.operators.sentences import split_text_into_sentences
 from proseline.operators.splitting import TextSplitter, clean_for, pieces, split_again, split_indices, split_rows, splits_to_text
+from proseline.sources.balance import spread
 from proseline.plans.statistics import balance, chunk_statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +33,7 @@ MESS = [(". ", ".\r\n\t"), (", ", ",  "), (" de ", "\xa0de \n"), (" the ", "
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def _messy(text: Column) -> Column:
@@ -192,10 +193,9 @@ def _uncleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p13_split_again")
 def _again(spark: SparkSession, sf: str) -> DataFrame:
-    lines = TextSplitter(recursive=False).on_single_newline().split_text(F.col("text"))
-    docs = _table(spark, sf, "documents").select("doc_id", lines.alias("lines")).where("lines is not null")
-    again = docs.select("doc_id", split_again(F.col("lines"), Separator.LINES).alias("again"))
-    return again.select("doc_id", F.array_join(F.transform("again", lambda x: F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)).cast("string")), ",").alias("n_splits"))
+    rows = split_rows(_table(spark, sf, "documents"), "text", TextSplitter(recursive=False).on_single_newline(), ["doc_id"])
+    again = rows.select("doc_id", "split_idx", split_again(F.col("text"), Separator.LINES).alias("again"))
+    return again.select("doc_id", "split_idx", F.col("again.separator").alias("separator"), F.coalesce(F.size("again.texts"), F.lit(0)).alias("n_splits"))
 
 
 _LINES_SQL = f"list_filter(list_transform(string_split({_CLEAN_LINES}, chr(10)), lambda x: {_TRIMMED}), lambda x: x <> '')"
@@ -228,7 +228,7 @@ def _catalogue(spark: SparkSession, sf: str) -> DataFrame:
 @query("p19_sentences_as_strings")
 def _sentence_strings(spark: SparkSession, sf: str) -> DataFrame:
     out = split_text_into_sentences(clean_for(F.col("text"), Separator.SENTENCES_RULE), keep_separator=False)
-    return _table(spark, sf, "documents").select("doc_id", F.posexplode(out).alias("sentence_idx", "text"))
+    return _table(spark, sf, "documents").select("doc_id", F.posexplode_outer(out).alias("sentence_idx", "text")).where("sentence_idx is not null")
 
 
 @query(
@@ -241,7 +241,7 @@ SELECT doc_id, i::INTEGER AS split_idx, (e - strlen(p) - 1)::INTEGER AS "start",
 )
 def _offsets(spark: SparkSession, sf: str) -> DataFrame:
     found = split_indices(clean_for(F.col("text"), Separator.LINES), Separator.LINES)
-    return _table(spark, sf, "documents").select("doc_id", F.posexplode(found).alias("split_idx", "r")).select("doc_id", "split_idx", "r.start", "r.end")
+    return _table(spark, sf, "documents").select("doc_id", F.posexplode_outer(found).alias("split_idx", "r")).where("split_idx is not null").select("doc_id", "split_idx", "r.start", "r.end")
 
 
 @query("t1_token_count_whitespace", f"SELECT doc_id, len(regexp_extract_all(text, '[^{P.WHITE_SPACE_CLASS}]+'))::INTEGER AS n_tokens FROM documents")
@@ -258,7 +258,7 @@ CHUNKER = TextChunker(128, counter=TokenCounter())
 
 
 def _chunks(spark: SparkSession, sf: str, chunker: TextChunker = CHUNKER) -> DataFrame:
-    return chunk_rows(_table(spark, sf, "documents"), "text", chunker, ["doc_id", "lang"])
+    return chunk_rows(spark.read.parquet(f"{sf}/documents.parquet"), "text", chunker, ["doc_id", "lang"])
 
 
 query("x3_chunk_documents")(lambda spark, sf: _chunks(spark, sf).drop("lang"))
@@ -294,7 +294,7 @@ _NATIVE = f"SELECT lang, length(p)::BIGINT AS c, len(regexp_extract_all(p, '[^{P
 CAST(sum(c) AS BIGINT) // count(*) AS avg_char_size, max(c) AS largest_char_size, min(c) AS smallest_char_size, CAST(sum(c) AS BIGINT) AS all_chunks_char_count FROM ({_NATIVE}) GROUP BY lang""",
 )
 def _statistics_of_lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _table(spark, sf, "documents").select("lang", F.explode(pieces(clean_for(F.col("text"), Separator.LINES), Separator.LINES)).alias("text"))
+    lines = _table(spark, sf, "documents").select("lang", F.explode_outer(pieces(clean_for(F.col("text"), Separator.LINES), Separator.LINES)).alias("text")).where("text is not null")
     return chunk_statistics(lines.select("lang", TokenCounter().count(F.col("text")).alias("token_count"), F.char_length("text").alias("char_count")), ["lang"])
 
 
