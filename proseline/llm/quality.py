@@ -14,7 +14,7 @@ from proseline.llm.common import batch_rows, compressed, pack_batches, saved, sl
 #: Bytes of an n-gram. Five bytes and their counts are told apart by 40 bits.
 ORDER = 5
 #: Text of a batch, and batches that one group of requests comes from.
-BATCH_BYTES, BATCHES_A_GROUP = 8 << 20, 512
+BATCH_BYTES, BATCHES_A_GROUP = 8 << 20, 128
 #: Shards of the model, by the last two bytes of the context.
 SHARDS = 48
 #: The quantile of trusted documents' log perplexities that a language's threshold is derived from,
@@ -219,7 +219,7 @@ def perplexities(df: DataFrame, model: DataFrame, lower: Lower, text_col: str =
     answers with their log probabilities; the batch adds them up for each text. The groups that
     answer hold one shard of the model and the requests of BATCHES_A_GROUP batches at most.
     """
-    kind = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")).schema["row"].dataType
+    kind = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")).schema["row"].dataType.toNullable()
     packed = pack_batches(df, text_col, BATCH_BYTES)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +268,7 @@ def perplexities(df: DataFrame, model: DataFrame, lower: Lower, text_col: str =
             steps[at] = uncompressed(said[s], np.uint16)
         each = np.repeat(steps * STEP, np.diff(np.append(head, len(codes))))
         surprise = np.bincount(text, weights=each, minlength=len(rows)) if len(rows) else np.zeros(0)
-        return pa.table({"row": rows.column(0), "n_bytes": pa.array(sizes), "surprise": pa.array(surprise)})
+        return pa.table({"row": rows.column(0).cast(row_type), "n_bytes": pa.array(sizes), "surprise": pa.array(surprise)})
 
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -344,7 +344,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
             a += c
         return pa.table({"batch": table.column("batch"), "names": table.column("names"), "n_runs": pa.array([x[0] for x in out], pa.binary()), "run": pa.array([x[1] for x in out], pa.binary()), "least": pa.array([x[2] for x in out], pa.binary())})
 
-    row_type = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")).schema["row"].dataType
+    row_type = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")).schema["row"].dataType.toNullable()
     kept_field = ", kept binary" if with_text else ""
 
     def mark(own: pa.Table, got: pa.Table) -> pa.Table:
