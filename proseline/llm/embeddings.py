@@ -90,6 +90,11 @@ def signatures(x: np.ndarray, tables: int, blocks: int, probes: int, threshold:
     return (out >> np.uint64(33)).astype(np.int32)
 
 
+def tables_for(blocks: int) -> int:
+    """More blocks tell more cells apart, and so part more pairs: more tables make up for it."""
+    return math.ceil(TABLES * 2.5 ** (blocks - 1))
+
+
 def _hash(points: np.ndarray) -> np.ndarray:
     out = np.zeros(len(points), np.uint64)
     for column in points.T:
@@ -133,7 +138,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())  # of written rows: the same whenever it is asked for
     n_nodes = nodes.count()
     blocks = 1 if n_nodes <= ONE_BLOCK else 1 + math.ceil(math.log(n_nodes / ONE_BLOCK) / math.log(200))
-    tables = TABLES * 2 ** (blocks - 1)
+    tables = tables_for(blocks)
     wide = dict(rows.dtypes)["v"] == "array<double>"
 
     def cells(batches: Iterator[pa.RecordBatch], only_counts: bool) -> Iterator[pa.RecordBatch]:

@@ -98,7 +98,7 @@ def test_recall_at_the_threshold():
     z = r.standard_normal(x.shape)
     z -= (z * x).sum(axis=1, keepdims=True) * x
     y = 0.93 * x + math.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    for blocks, tables in ((1, 10), (2, 20), (3, 40)):
-        a, b = (embeddings.signatures(v, tables, blocks, embeddings.PROBES, 0.93) for v in (x, y))
+    for blocks in (1, 2, 3):
+        a, b = (embeddings.signatures(v, embeddings.tables_for(blocks), blocks, embeddings.PROBES, 0.93) for v in (x, y))
         met = (a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)
         assert met.any(axis=1).mean() > 0.99
