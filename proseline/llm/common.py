@@ -26,11 +26,13 @@ def use_shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
-    if found.isEmpty():
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if found.isEmpty() and named:
+        sc.setCheckpointDir(named)
+    elif found.isEmpty():
         own = tempfile.mkdtemp(prefix="checkpoints-") if sc.master.startswith("local[") or sc.master == "local" else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(own)
-        found = sc._jsc.sc().getCheckpointDir()
-    return found.get()
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def saved(df: DataFrame) -> DataFrame:

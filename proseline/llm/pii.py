@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,11 +219,9 @@ def mask_documents(docs: DataFrame, text_col: str = "text", count_col: str = "n_
                 changed[i] = "".join(out) + text[last:]
             if changed:
                 new = pa.array([changed.get(i) for i in range(len(batch))], texts.type)
-                texts = pa.compute.if_else(new.is_valid(), new, texts)
+                texts = pc.if_else(new.is_valid(), new, texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["row", "masked"])
 
-    import pyarrow.compute  # noqa: F401  (pa.compute above)
-
     out = joined.mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, masked string")
     masked = F.col("masked")
     columns = {text_col: masked} | ({count_col: F.char_length(masked).cast(docs.schema[count_col].dataType)} if count_col in docs.columns else {})
