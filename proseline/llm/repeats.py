@@ -22,6 +22,8 @@ SHARDS = 4
 BATCH_BYTES, BLOCK, BUCKET_BYTES = 8 << 20, 1 << 16, 6 << 20
 #: Bytes of strings whose transforms are merged together; strings of one anchor are not parted.
 MERGED = 1 << 18
+#: Batches beyond which an anchor that they all have is hot, and the length of the finer anchors that its windows are told apart by.
+HOT, FINER = 2048, 40
 #: An id for documents that have none: nothing is smaller than null, and null is smaller than nothing.
 NO_ID = np.iinfo(np.int64).max
 
@@ -72,6 +74,41 @@ class Windows:
         # Anchors are least hashes, so small ones are common; mixed again, they spread evenly.
         return first + low, last + low, mix(hashes[at[first]] ^ np.uint64(0x5851F42D4C957F2D))
 
+    def refine(self, hot: np.ndarray, bits: int) -> None:
+        """Part the strings whose anchor is in ``hot`` by finer anchors: the least FINER-byte gram of each window.
+
+        A passage in very many contexts has the same ANCHOR-byte grams at its ends in all of them;
+        a longer gram takes in some of the context, or is met in few different strings.
+        """
+        is_hot = _in_sorted(_spread(self.anchor, bits), hot) if len(hot) else np.zeros(len(self.anchor), bool)
+        if not is_hot.any():
+            return
+        low, high = self.first[is_hot], self.last[is_hot]
+        windows = high - low + 1
+        grams = windows + LENGTH - FINER
+        start = np.repeat(low, grams) + ranges(grams)
+        order = np.argsort(start, kind="stable")
+        hashes = np.empty(len(start), np.uint64)
+        hashes[order] = run_hashes(self.body, start[order], start[order] + FINER)
+        base = np.repeat(np.cumsum(grams) - grams, windows) + ranges(windows)
+        place = np.repeat(low, windows) + ranges(windows)
+        best, least = base, hashes[base]
+        for k in range(1, LENGTH - FINER + 1):
+            less = hashes[base + k] < least
+            best, least = np.where(less, base + k, best), np.where(less, hashes[base + k], least)
+        new = np.ones(len(place), bool)
+        new[1:] = (best[1:] != best[:-1]) | (place[1:] != place[:-1] + 1)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(place)) - 1
+        text = np.repeat(self.text[is_hot], windows)[head]
+        anchor = mix(least[head] ^ np.uint64(0x2545F4914F6CDD1D))
+        parts = ((self.first[~is_hot], place[head]), (self.last[~is_hot], place[tail]), (self.anchor[~is_hot], anchor), (self.text[~is_hot], text))
+        self.first, self.last, self.anchor, self.text = (np.concatenate(x) for x in parts)
+        self._take(np.argsort(self.first, kind="stable"))
+
+    def _take(self, which: np.ndarray) -> None:
+        self.first, self.last, self.anchor, self.text = self.first[which], self.last[which], self.anchor[which], self.text[which]
+
     def contents(self, which: np.ndarray) -> np.ndarray:
         """A hash of each string's bytes."""
         out = np.empty(len(which), np.uint64)
@@ -256,21 +293,34 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         once = np.ones(len(both), bool)
         once[1:] = both[1:] != both[:-1]
         owner, value = (both[once] & np.uint64((1 << owner_bits) - 1)).astype(np.int64), value[once] | np.uint64(bucket << low_bits)
+        edge = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+        batches = np.diff(np.append(edge, len(value)))
+        is_hot = np.repeat(batches > HOT, batches)
         order = np.argsort(owner.astype(np.uint16 if len(lists) < 1 << 16 else np.int64), kind="stable")
-        owner, value = owner[order], value[order]
+        owner, value, is_hot = owner[order], value[order], is_hot[order]
         head = np.flatnonzero(np.diff(owner, prepend=-1))
-        return pa.table({"batch": pa.array([numbers[owner[i]] for i in head], pa.int64()), "data": pa.array([compressed(value[i:j]) for i, j in zip(head, np.append(head[1:], len(owner)))], pa.binary())})
+        cuts = list(zip(head, np.append(head[1:], len(owner)), strict=True))
+        return pa.table(
+            {
+                "batch": pa.array([numbers[owner[i]] for i in head], pa.int64()),
+                "data": pa.array([compressed(value[i:j]) for i, j in cuts], pa.binary()),
+                "hot": pa.array([value[i:j][is_hot[i:j]].tobytes() for i, j in cuts], pa.binary()),
+            }
+        )
 
     def send(own: pa.Table, met: pa.Table) -> pa.Table:
-        none = pa.table({"bucket": pa.array([], pa.int32()), "batch": pa.array([], pa.int64()), "sizes": pa.array([], pa.binary()), "ids": pa.array([], pa.binary()), "names": pa.array([], pa.binary()), "data": pa.array([], pa.binary())})
+        none = pa.table({"bucket": pa.array([], pa.int32()), "batch": pa.array([], pa.int64()), "sizes": pa.array([], pa.binary()), "ids": pa.array([], pa.binary()), "names": pa.array([], pa.binary()), "data": pa.array([], pa.binary()), "hot": pa.array([], pa.binary())})
         if not len(own) or not len(met):
             return none
         rows = batch_rows(own.column("blob")[0].as_py())
         w = Windows(*utf8(rows.column(1)))
         shared = np.sort(np.concatenate([uncompressed(x, np.uint64) for x in met.column("data").to_pylist()]))
-        which = np.flatnonzero(_in_sorted(_spread(w.anchor, hash_bits), shared))
-        if not len(which):
+        w._take(np.flatnonzero(_in_sorted(_spread(w.anchor, hash_bits), shared)))
+        if not len(w.first):
             return none
+        hot = b"".join(met.column("hot").to_pylist())
+        w.refine(np.sort(np.frombuffer(hot, np.uint64)), hash_bits)
+        which = np.arange(len(w.first))
         name, ids = w.contents(which), ids_of(rows)[w.text[which]]
         order = np.lexsort((ids, name, _spread(w.anchor[which], bucket_bits)))
         which, name, ids = which[order], name[order], ids[order]
@@ -290,6 +340,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
                 "ids": pa.array([compressed(ids[a:b]) for a, b in cuts], pa.binary()),
                 "names": pa.array([name[a:b].tobytes() for a, b in cuts], pa.binary()),
                 "data": pa.array([compressed(data[ends[a] - sizes[a] : ends[b - 1]]) for a, b in cuts], pa.binary()),
+                "hot": pa.array([hot if i == 0 else b"" for i in range(len(cuts))], pa.binary()),
             }
         )
 
@@ -342,7 +393,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
             at = np.repeat(runs_of[mine], n_runs) + ranges(n_runs)
             out.append((compressed(n_runs.astype(np.uint8)), compressed(run[at].astype(np.uint8)), compressed(least[head[at]])))
             a += c
-        return pa.table({"batch": table.column("batch"), "names": table.column("names"), "n_runs": pa.array([x[0] for x in out], pa.binary()), "run": pa.array([x[1] for x in out], pa.binary()), "least": pa.array([x[2] for x in out], pa.binary())})
+        return pa.table({"batch": table.column("batch"), "names": table.column("names"), "hot": table.column("hot"), "n_runs": pa.array([x[0] for x in out], pa.binary()), "run": pa.array([x[1] for x in out], pa.binary()), "least": pa.array([x[2] for x in out], pa.binary())})
 
     row_type = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")).schema["row"].dataType.toNullable()
     kept_field = ", kept binary" if with_text else ""
@@ -355,6 +406,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         gone = np.zeros(len(body) + 1, np.int32)
         if len(got):
             w = Windows(body, offsets)
+            w.refine(np.sort(np.frombuffer(b"".join(got.column("hot").to_pylist()), np.uint64)), hash_bits)
             name = np.frombuffer(b"".join(got.column("names").to_pylist()), np.uint64)
             n_runs = np.concatenate([uncompressed(x, np.uint8) for x in got.column("n_runs").to_pylist()]).astype(np.int64)
             run = np.concatenate([uncompressed(x, np.uint8) for x in got.column("run").to_pylist()]).astype(np.int64)
@@ -390,9 +442,9 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         return pa.table(columns | ({"kept": pa.array([bytes(x) for x in kept], pa.binary())} if with_text else {}))
 
     asked = packed.mapInArrow(ask, "bucket int, batch long, data binary").repartition(n, "bucket")
-    met = asked.groupBy("bucket").applyInArrow(meet, "batch long, data binary")
-    sent = packed.groupBy("batch").cogroup(met.groupBy("batch")).applyInArrow(send, "bucket int, batch long, sizes binary, ids binary, names binary, data binary")
-    known = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(merge, "batch long, names binary, n_runs binary, run binary, least binary")
+    met = asked.groupBy("bucket").applyInArrow(meet, "batch long, data binary, hot binary")
+    sent = packed.groupBy("batch").cogroup(met.groupBy("batch")).applyInArrow(send, "bucket int, batch long, sizes binary, ids binary, names binary, data binary, hot binary")
+    known = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(merge, "batch long, names binary, hot binary, n_runs binary, run binary, least binary")
     return packed.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(mark, f"row {row_type.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string{kept_field}")
 
 

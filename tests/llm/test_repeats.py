@@ -49,7 +49,9 @@ def test_equals_brute_force(spark, monkeypatch, merged):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in out)
 
 
-def test_small_blocks_and_batches(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [2048, 1, 0])
+def test_small_blocks_and_batches(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "BLOCK", 700)
     monkeypatch.setattr(repeats, "BATCH_BYTES", 900)
     rows = shared_rows(1)
@@ -133,3 +135,25 @@ def test_junk_goes_and_clean_text_stays(spark):
     everything = quality.judge(docs(spark, rows), labels.limit(0)).collect()
     assert all(r.keep == bool(r.n_bytes) for r in everything)
     assert quality.judge(docs(spark, []), labels).count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 16, 700, 64])
+def test_strings_hold_every_window_once(monkeypatch, block):
+    import pyarrow as pa
+
+    from proseline.llm.common import utf8
+
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    texts = [t for _, t in shared_rows(2)] + ["", None, "short", "é" * 60]
+    body, offsets = utf8(pa.array(texts))
+    for hot in (False, True):
+        w = repeats.Windows(body, offsets)
+        if hot:
+            w.refine(np.sort(w.anchor >> np.uint64(20)), 44)
+        places = np.concatenate([np.arange(a, b + 1) for a, b in zip(w.first, w.last)])
+        want = np.concatenate([np.arange(a, b - 49) for a, b in zip(offsets, offsets[1:]) if b - a >= 50])
+        assert np.array_equal(np.sort(places), want)
+        anchors = {}
+        for a, b, anchor in zip(w.first, w.last, w.anchor):
+            for p in range(a, b + 1):
+                assert anchors.setdefault(body[p : p + 50].tobytes(), anchor) == anchor
