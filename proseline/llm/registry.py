@@ -29,6 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_suffix_array_dedup": repeats.ORACLE_OP1,
         "op4_chat_formatting": chat.ORACLE_OP4,
         "op5_decontamination": decontamination.ORACLE_OP5,
-        "op9_quality_classifier": quality.op9_quality_classifier,
         "op10_embedding_near_dedup": embeddings.ORACLE_OP10,
     }
