@@ -13,6 +13,7 @@ def test_flagship(spark):
 
 def test_oracles_belong_to_queries():
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
 
 
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("op1_")))
