@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseline.llm.common import components, from_gaps, gaps, local_roots, mix, saved, shuffle_partitions, task_id, utf8
+from proseline.llm.similarity import node_of, similar_texts
 
 #: Fingerprints link at this many differing bits or fewer; each emits its ball of half of that.
 RADIUS = 4
@@ -189,17 +190,22 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """One document of each component, with all of its columns: that of the least id.
+    """One document of each group of similar texts, with all of its columns: that of the least id.
+
+    Texts are similar at a Jaccard similarity of 0.8 or more of their shingles. At that similarity
+    fingerprints differ in about ten bits, which no ball of op8's kind reaches, so candidates are found
+    by shingles (see similar_texts()) and every link is confirmed by the whole sets. Texts
+    without words are one group.
 
     Ties (null or repeated ids) are broken by the text's digest; of rows that are equal in id and
     text one stays. Documents are told apart by id and digest, not by where they stand, so a
     second reading of the input may be split into tasks in another way.
     """
     digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
-    found = near_duplicates(docs.select(id_col, text_col, digest.alias("digest")), id_col, text_col, shingle)
-    name = F.struct(F.col(f"row.`{id_col}`").isNull().alias("none"), F.col(f"row.`{id_col}`").alias("id"), F.col("row.digest").alias("digest"))
-    # A component without any id has no name; each of its fingerprints then stands for itself.
-    first = found.groupBy("component", F.when(F.col("component").isNull(), F.col("fp")).alias("own")).agg(F.min(name).alias("x"))
+    tied = similar_texts(docs, text_col, shingle)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), digest.alias("digest"), node_of(F.col(f"`{text_col}`")).alias("node"))
+    name = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("digest"))
+    first = rows.join(tied, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min(name).alias("x"))
     kept = first.select(F.col("x.id").alias("__id"), F.col("x.digest").alias("__digest"))
     joined = docs.withColumn("__digest", digest).withColumn("__id", F.col(f"`{id_col}`")).join(
         kept.select(F.col("__id").alias("__kept"), F.col("__digest").alias("__same")),
