@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from proseline.llm import decontamination, packing, pii, quality, simhash
 from proseline.llm.common import use_shared_dir
@@ -37,7 +36,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every document goes in which sequence."""
-    return packing.pack(docs.select("doc_id", packing.token_estimate(F.col("text")).alias("n_tokens")), "n_tokens")
+    return packing.pack_texts(docs)
 
 
 STAGES = [

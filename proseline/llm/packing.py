@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseline.llm.common import task_id
+from proseline.llm.tokens import token_counts
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: What a sequence costs besides its tokens, in tokens.
@@ -19,11 +20,6 @@ OVERHEAD = 32
 BLOCK = 200_000
 
 
-def token_estimate(text: Column) -> Column:
-    """A length without a tokenizer: a token for every four UTF-8 bytes begun, and an end token."""
-    return (F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4) + 1).cast("long")
-
-
 def best_fit(lengths: np.ndarray, capacities: Sequence[int], opening: int, cost: Callable[[int], float]) -> tuple[np.ndarray, list[int], float]:
     """Best-fit decreasing; a new bin has the least-cost size that is no smaller than ``opening`` and holds the piece.
 
@@ -58,7 +54,7 @@ def pack_lengths(lengths: np.ndarray, capacities: Sequence[int], cost: Callable[
     return found[0], found[1]
 
 
-def pack(df: DataFrame, length_col: str, id_col: str = "doc_id", capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD, block: int = BLOCK) -> DataFrame:
+def pack(df: DataFrame, length_col: str, id_col: str = "doc_id", capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD, block: int = BLOCK, tokenizer_path: str | None = None) -> DataFrame:
     """Pack documents into sequences; one row for every piece of a document.
 
     A document longer than the largest capacity is cut into pieces of that capacity and a rest.
@@ -66,6 +62,8 @@ def pack(df: DataFrame, length_col: str, id_col: str = "doc_id", capacities: Seq
     no group and no limit on the number of documents; a block leaves a few open bins at most.
     A bin's capacity is in the end the smallest permitted one that holds its contents.
 
+    With tokenizer_path, length_col holds texts, and their lengths are counted in the same task.
+
     Null or negative lengths count as 0. A document of length 0 takes up no room and has one
     piece of length 0 in no bin (bin_id null). Repeated rows are packed each for itself. Which
     documents share a bin depends on how the input is split into tasks; the promises (every
@@ -113,7 +111,7 @@ def pack(df: DataFrame, length_col: str, id_col: str = "doc_id", capacities: Seq
             columns = [table.column(0).combine_chunks().take(pa.array(row)), *(pa.array(x) for x in (piece, piece * largest, length)), *(pa.array(x, mask=none) for x in (bin_id, slot, at, fill, cap))]
             yield from pa.table(columns, names=names).to_batches(max_chunksize=20_000)
 
-        for batch in batches:
+        for batch in token_counts(batches, tokenizer_path) if tokenizer_path else batches:
             held.append(batch)
             pieces += len(batch) + int(np.asarray(batch.column(1).fill_null(0)).sum()) // largest
             if pieces >= block:
@@ -122,10 +120,16 @@ def pack(df: DataFrame, length_col: str, id_col: str = "doc_id", capacities: Seq
         if held:
             yield from flush()
 
-    ids = df.select(F.col(id_col).cast("long").alias("id"), F.col(length_col).cast("long").alias("n"))
+    ids = df.select(F.col(id_col).cast("long").alias("id"), F.col(length_col).cast("string" if tokenizer_path else "long").alias("n"))
     return ids.mapInArrow(run, f"`{id_col}` long, " + ", ".join(f"{x} long" for x in names[1:]))
 
 
+def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """pack() of texts by their tokens: the ids that op7 writes for each, its end id among them."""
+    import public_tokenizers
+
+    return pack(docs, text_col, id_col, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs.select("doc_id", token_estimate(F.col("text")).alias("n_tokens")), "n_tokens")
+    return pack_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

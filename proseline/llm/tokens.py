@@ -268,6 +268,19 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str | None = None,
     return TokenFiles(uri, dtype, bases)
 
 
+def token_counts(batches: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[pa.RecordBatch]:
+    """(id, n) for batches of (id, text): the ids of each whole text and an end id, as write_tokens() writes them.
+
+    The encoder lives no longer than the task, so that a worker does not hold its pieces in later ones.
+    """
+    enc = Encoder(tokenizer_path)
+    for batch in batches:
+        body, offsets = utf8(batch.column(1))
+        for a, b in slices(offsets, BLOCK):
+            _, n = enc.encode(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n + 1, pa.int64())], ["id", "n"])
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
