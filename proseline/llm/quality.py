@@ -17,10 +17,9 @@ ORDER = 5
 BATCH_BYTES, BATCHES_A_GROUP = 8 << 20, 128
 #: Shards of the model, by the last two bytes of the context.
 SHARDS = 48
-#: The quantile of trusted documents' log perplexities that a language's threshold is derived from,
-#: how far beyond it (in distances from the median) the threshold lies, and how many
+#: The quantile of trusted documents' log perplexities that is a language's threshold, and how many
 #: trusted documents a language needs for a threshold of its own.
-QUANTILE, SLACK, LEAST_TRUSTED = 0.99, 1.0, 20
+QUANTILE, LEAST_TRUSTED = 0.99, 20
 #: Every so-manieth trusted document, by a hash of its id, sets thresholds and is not trained on.
 FOLDS = 5
 #: Bytes of mean surprise that are added to a document, so that short ones are not judged on a few words.
@@ -281,9 +280,8 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Trusted are all texts whose id is labelled with quality 1 (and not 0 elsewhere). The model is
     trained on all of them but one fold, and scores all texts. A language's threshold is the
-    QUANTILE of the log perplexities of that fold, which the model has not seen, moved on by
-    SLACK times its distance from their median; languages with fewer than LEAST_TRUSTED
-    documents in it use that of the whole fold.
+    QUANTILE of the log perplexities of that fold, which the model has not seen; languages with
+    fewer than LEAST_TRUSTED documents in it use that of the whole fold.
     A text's perplexity is mixed with PRIOR_BYTES bytes of its language's median, so that short texts are judged mildly.
 
     Null and empty texts have a null perplexity and are not kept. Null ids are never trusted.
@@ -309,8 +307,7 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = scored.withColumn("l", lang).join(per_lang, "l", "left").join(F.broadcast(of_all), F.lit(True), "left")
     median, high = F.coalesce("median", "all_median"), F.coalesce("edge", "all_edge")
     log_ppl = F.when(F.col("n_bytes") > 0, F.coalesce(mixed(median), F.col("surprise") / F.col("n_bytes")))
-    threshold = high + SLACK * (high - median)
-    return table.select("row", "n_bytes", log_ppl.alias("log_ppl"), threshold.alias("threshold")).withColumn("keep", F.col("log_ppl").isNotNull() & F.coalesce(F.col("log_ppl") <= F.col("threshold"), F.lit(True)))
+    return table.select("row", "n_bytes", log_ppl.alias("log_ppl"), high.alias("threshold")).withColumn("keep", F.col("log_ppl").isNotNull() & F.coalesce(F.col("log_ppl") <= F.col("threshold"), F.lit(True)))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
