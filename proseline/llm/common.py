@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The hidden row number that keeps repeated rows apart.
-ROW = "__row"
-
 
 def use_shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
@@ -30,11 +30,53 @@ def use_shared_dir(spark: SparkSession) -> str:
     if found.isEmpty() and named:
         sc.setCheckpointDir(named)
     elif found.isEmpty():
-        own = tempfile.mkdtemp(prefix="checkpoints-") if sc.master.startswith("local[") or sc.master == "local" else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(own)
+        local = sc.master.startswith("local[") or sc.master == "local"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not local and (warehouse.startswith("file:") or "://" not in warehouse):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-") if local else f"{warehouse}/_checkpoints")
+    # Files of checkpoints go when nothing refers to them any more.
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, removed when the driver ends."""
+    uri = f"{use_shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove_folder, uri)
+    return uri
+
+
+def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
+
+
+def remove_folder(uri: str) -> None:
+    store, path = open_folder(uri)
+    if store.get_file_info(path).type == pafs.FileType.Directory:
+        store.delete_dir(path)
+
+
+def put(uri: str, name: str, *data: np.ndarray) -> None:
+    """Written under another name and moved, so that a task that is run again, or twice at once, leaves a whole file."""
+    store, path = open_folder(uri)
+    own = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with store.open_output_stream(own) as out:
+        for x in data:
+            out.write(np.ascontiguousarray(x))
+    move(store, own, f"{path}/{name}")
+
+
+def move(store: pafs.FileSystem, own: str, to: str) -> None:
+    """Some stores don't move onto a file; the one that is there has the same contents and may stay."""
+    try:
+        store.move(own, to)
+    except OSError:
+        if store.get_file_info(to).type != pafs.FileType.File:
+            raise
+        store.delete_file(own)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared folder; lineage ends there."""
     use_shared_dir(df.sparkSession)
@@ -121,20 +163,6 @@ def run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
-def gaps(ascending: np.ndarray) -> bytes:
-    """Ascending 32-bit numbers as 16-bit steps; the largest step means: go on."""
-    steps = np.diff(ascending.astype(np.int64), prepend=0)
-    more = steps // 65535
-    out = np.full(int(more.sum()) + len(steps), 65535, np.uint16)
-    out[np.cumsum(more + 1) - 1] = steps - more * 65535
-    return out.tobytes()
-
-
-def from_gaps(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, np.uint16)
-    return np.cumsum(steps, dtype=np.int64)[steps != 65535]
-
-
 def pack_batches(df: DataFrame, text_col: str, size: int) -> DataFrame:
     """(batch, blob): rows with about ``size`` bytes of text each, compressed, dealt by batch.
 
@@ -188,16 +216,18 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node of the links a-b the smallest node that it reaches.
 
     Large-star and small-star rounds (Kiveris et al., 2014) until the links no longer change.
     Each round is two aggregations, combined before their shuffle, and two joins in which a
     hub's links can be split; links are written to the shared folder after each round. Nothing
-    but one count a round comes to the driver. Links with a null end are left out.
+    but a count and a sum of hashes a round comes to the driver: when both stay, so do the links. Rounds
+    end, as each but the last makes some end of a link smaller. Links with a null end are left out.
     """
     links = saved(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(most_rounds):
+    size = None
+    while True:
         # Large star: every neighbour above u is tied to the least of u and its neighbours.
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -206,11 +236,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         after = saved(small)
-        changed = after.exceptAll(links).limit(1).count() + links.exceptAll(after).limit(1).count()
+        before, size = size, tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         links = after
-        if not changed:
+        if before == size:
             break
-    else:
-        raise RuntimeError("components: links still change after the last round")
     stars = links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

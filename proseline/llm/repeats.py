@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import batch_rows, compressed, from_gaps, gaps, mix, pack_batches, power_tables, prefix_sums, ranges, run_hashes, shuffle_partitions, slices, uncompressed, utf8
+from proseline.llm.common import batch_rows, compressed, mix, pack_batches, power_tables, prefix_sums, ranges, run_hashes, shuffle_partitions, uncompressed, utf8
+from proseline.llm.exchange import met_again, unpack_steps
 
 #: Bytes of a string that counts when repeated; of the anchor that every such string contains.
 LENGTH, ANCHOR = 50, 24
@@ -22,8 +23,8 @@ SHARDS = 4
 BATCH_BYTES, BLOCK, BUCKET_BYTES = 8 << 20, 1 << 16, 6 << 20
 #: Bytes of strings whose transforms are merged together; strings of one anchor are not parted.
 MERGED = 1 << 18
-#: Batches beyond which an anchor that they all have is hot, and the length of the finer anchors that its windows are told apart by.
-HOT, FINER = 2048, 40
+#: Batches beyond which an anchor that they all have is hot: each of its windows is then a string of its own.
+HOT = 2048
 #: An id for documents that have none: nothing is smaller than null, and null is smaller than nothing.
 NO_ID = np.iinfo(np.int64).max
 
@@ -75,34 +76,21 @@ class Windows:
         return first + low, last + low, mix(hashes[at[first]] ^ np.uint64(0x5851F42D4C957F2D))
 
     def refine(self, hot: np.ndarray, bits: int) -> None:
-        """Part the strings whose anchor is in ``hot`` by finer anchors: the least FINER-byte gram of each window.
+        """Part the strings whose anchor is in ``hot`` into single windows, each with its own hash as anchor.
 
-        A passage in very many contexts has the same ANCHOR-byte grams at its ends in all of them;
-        a longer gram takes in some of the context, or is met in few different strings.
+        A passage in very many contexts has the same anchors at its ends in all of them. Nothing
+        is left to part then: windows of one hash are equal, and each batch sends one of them.
         """
         is_hot = _in_sorted(_spread(self.anchor, bits), hot) if len(hot) else np.zeros(len(self.anchor), bool)
         if not is_hot.any():
             return
-        low, high = self.first[is_hot], self.last[is_hot]
-        windows = high - low + 1
-        grams = windows + LENGTH - FINER
-        start = np.repeat(low, grams) + ranges(grams)
-        order = np.argsort(start, kind="stable")
-        hashes = np.empty(len(start), np.uint64)
-        hashes[order] = run_hashes(self.body, start[order], start[order] + FINER)
-        base = np.repeat(np.cumsum(grams) - grams, windows) + ranges(windows)
-        place = np.repeat(low, windows) + ranges(windows)
-        best, least = base, hashes[base]
-        for k in range(1, LENGTH - FINER + 1):
-            less = hashes[base + k] < least
-            best, least = np.where(less, base + k, best), np.where(less, hashes[base + k], least)
-        new = np.ones(len(place), bool)
-        new[1:] = (best[1:] != best[:-1]) | (place[1:] != place[:-1] + 1)
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(place)) - 1
-        text = np.repeat(self.text[is_hot], windows)[head]
-        anchor = mix(least[head] ^ np.uint64(0x2545F4914F6CDD1D))
-        parts = ((self.first[~is_hot], place[head]), (self.last[~is_hot], place[tail]), (self.anchor[~is_hot], anchor), (self.text[~is_hot], text))
+        windows = (self.last - self.first + 1)[is_hot]
+        place = np.repeat(self.first[is_hot], windows) + ranges(windows)
+        text = np.repeat(self.text[is_hot], windows)
+        order = np.argsort(place, kind="stable")
+        place, text = place[order], text[order]
+        anchor = mix(run_hashes(self.body, place, place + LENGTH) ^ np.uint64(0x2545F4914F6CDD1D))
+        parts = ((self.first[~is_hot], place), (self.last[~is_hot], place), (self.anchor[~is_hot], anchor), (self.text[~is_hot], text))
         self.first, self.last, self.anchor, self.text = (np.concatenate(x) for x in parts)
         self._take(np.argsort(self.first, kind="stable"))
 
@@ -110,12 +98,31 @@ class Windows:
         self.first, self.last, self.anchor, self.text = self.first[which], self.last[which], self.anchor[which], self.text[which]
 
     def contents(self, which: np.ndarray) -> np.ndarray:
-        """A hash of each string's bytes."""
+        """A name for each string, the same for equal ones alone: a hash of its bytes, told apart where two strings have one."""
         out = np.empty(len(which), np.uint64)
         for a in range(0, len(which), 1 << 14):
             some = which[a : a + (1 << 14)]
             out[a : a + len(some)] = run_hashes(self.body, self.first[some], self.last[some] + LENGTH)
-        return out
+        return told_apart(self.body, self.first[which], self.last[which] + LENGTH - self.first[which], out)
+
+
+def told_apart(data: np.ndarray, begin: np.ndarray, size: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Names of strings, changed so that different strings have different ones: those that differ from the first of their name, byte by byte, get another."""
+    name = name.copy()
+    mine = np.arange(len(name))
+    while len(mine):
+        _, first, which = np.unique(name[mine], return_index=True, return_inverse=True)
+        one = mine[first[which]]
+        same = size[mine] == size[one]
+        at = np.flatnonzero(same & (mine != one))
+        for a in range(0, len(at), 1 << 14):
+            x, y = mine[at[a : a + (1 << 14)]], one[at[a : a + (1 << 14)]]
+            steps = ranges(size[x])
+            equal = data[np.repeat(begin[x], size[x]) + steps] == data[np.repeat(begin[y], size[x]) + steps]
+            same[at[a : a + (1 << 14)]] = np.add.reduceat(equal, np.cumsum(size[x]) - size[x]) == size[x]
+        mine = mine[~same]
+        name[mine] = mix(name[mine] + np.uint64(1))
+    return name
 
 
 def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -228,21 +235,23 @@ def least_owners(data: np.ndarray, begin: np.ndarray, owner: np.ndarray) -> tupl
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Mark each byte covered by a LENGTH-byte string that also starts in a document with a smaller id.
 
-    1. Every batch of texts tells each bucket its anchors (see Windows), as hashes a little wider
-       than needed to tell them apart, in sorted steps; the bucket reports those met in more than one text.
+    1. Every batch of texts tells its anchors (see Windows) as short hashes, and hears of those
+       that are in more than one text (see exchange).
     2. Every batch sends the strings with such an anchor, equal ones once, with their least id.
-       A bucket makes equal strings one. A string that no other shares its anchor with shares no
+       A bucket makes equal strings one, byte by byte. A string that no other shares its anchor with shares no
        window with another either. The others are dealt to shards, each shard's transform is
        built, the transforms are merged, and the intervals of the merged transform give for every
        window the least id of a text that has it. The batches get these numbers back.
     3. Every batch marks the windows whose least id is smaller than their own text's.
 
     Texts are compressed and shuffled once, and read three times. Buckets grow with the input in
-    number, not in size. Nothing comes to the driver but the number of bytes.
+    number, not in size: strings of an anchor that very many batches have are parted into windows,
+    of which each batch sends one. Little comes to the driver: the number of bytes, and of each task's batches.
 
     Null texts are empty. Texts with a null id keep what only they have, and lose what a text with
     an id has; they are never a reason to remove. Texts of one id (repeated rows) don't remove each
-    other's strings. Strings are those of the input, whatever is removed elsewhere.
+    other's strings. Strings are those of the input, whatever is removed elsewhere. A text of any length
+    is one row of a batch, hashed in blocks. An empty table gives no rows; columns may have any name.
 
     Returns row (a struct of df's columns without text_col), n_bytes, n_removed, spans (array of start,
     end: maximal removed runs, in bytes), kept_sha256 and, if asked for, kept (the bytes that stay).
@@ -251,62 +260,25 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     bucket_bits = max(2, (size // BUCKET_BYTES).bit_length())
     hash_bits = max(bucket_bits + 8, min(bucket_bits + 31, (size // 12 + 1).bit_length() + 8))
-    low_bits = hash_bits - bucket_bits
-    packed = pack_batches(df.withColumn("__id", F.col(f"`{id_col}`").cast("long")), text_col, BATCH_BYTES)
+    kept_columns = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col))
+    packed = pack_batches(df.select(kept_columns.alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", BATCH_BYTES)
 
     def ids_of(rows: pa.RecordBatch) -> np.ndarray:
-        return np.asarray(rows.column(0).field("__id").fill_null(NO_ID))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = Windows(*utf8(batch_rows(blob).column(1)))
-                # An anchor is sent twice, at most: where two of the batch's texts have it.
-                order = np.lexsort((w.text, w.anchor))
-                anchor, text = w.anchor[order], w.text[order]
-                first = np.ones(len(order), bool)
-                first[1:] = anchor[1:] != anchor[:-1]
-                other = np.zeros(len(order), bool)
-                other[1:] = ~first[1:] & (text[1:] != text[:-1])
-                run = np.cumsum(first) - 1
-                again = np.flatnonzero(other)
-                again = again[np.r_[True, run[again][1:] != run[again][:-1]]] if len(again) else again
-                short = _spread(np.sort(np.concatenate([anchor[first], anchor[again]])), hash_bits)
-                cuts = np.searchsorted(short, np.arange((1 << bucket_bits) + 1, dtype=np.uint64) << np.uint64(low_bits))
-                low = short & np.uint64((1 << low_bits) - 1)
-                some = np.flatnonzero(np.diff(cuts)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array([gaps(low[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())], ["bucket", "batch", "data"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        lists = [from_gaps(x) for x in table.column("data").to_pylist()]
-        numbers = table.column("batch").to_pylist()
-        owner_bits = max(1, len(lists).bit_length())
-        both = (np.concatenate(lists).astype(np.uint64) << np.uint64(owner_bits)) | np.repeat(np.arange(len(lists), dtype=np.uint64), [len(x) for x in lists])
-        both.sort()
-        value = both >> np.uint64(owner_bits)
-        same = value[1:] == value[:-1]
-        shared = np.zeros(len(both), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        both, value = both[shared], value[shared]
-        once = np.ones(len(both), bool)
-        once[1:] = both[1:] != both[:-1]
-        owner, value = (both[once] & np.uint64((1 << owner_bits) - 1)).astype(np.int64), value[once] | np.uint64(bucket << low_bits)
-        edge = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
-        batches = np.diff(np.append(edge, len(value)))
-        is_hot = np.repeat(batches > HOT, batches)
-        order = np.argsort(owner.astype(np.uint16 if len(lists) < 1 << 16 else np.int64), kind="stable")
-        owner, value, is_hot = owner[order], value[order], is_hot[order]
-        head = np.flatnonzero(np.diff(owner, prepend=-1))
-        cuts = list(zip(head, np.append(head[1:], len(owner)), strict=True))
-        return pa.table(
-            {
-                "batch": pa.array([numbers[owner[i]] for i in head], pa.int64()),
-                "data": pa.array([compressed(value[i:j]) for i, j in cuts], pa.binary()),
-                "hot": pa.array([value[i:j][is_hot[i:j]].tobytes() for i, j in cuts], pa.binary()),
-            }
-        )
+        return np.asarray(rows.column(0).field("id").fill_null(NO_ID))
+
+    def anchors(blob: bytes) -> np.ndarray:
+        """A batch's anchors, ascending; one that two of its texts have is there twice."""
+        w = Windows(*utf8(batch_rows(blob).column(1)))
+        order = np.lexsort((w.text, w.anchor))
+        anchor, text = w.anchor[order], w.text[order]
+        first = np.ones(len(order), bool)
+        first[1:] = anchor[1:] != anchor[:-1]
+        other = np.zeros(len(order), bool)
+        other[1:] = ~first[1:] & (text[1:] != text[:-1])
+        run = np.cumsum(first) - 1
+        again = np.flatnonzero(other)
+        again = again[np.r_[True, run[again][1:] != run[again][:-1]]] if len(again) else again
+        return _spread(np.sort(np.concatenate([anchor[first], anchor[again]])), hash_bits)
 
     def send(own: pa.Table, met: pa.Table) -> pa.Table:
         none = pa.table({"bucket": pa.array([], pa.int32()), "batch": pa.array([], pa.int64()), "sizes": pa.array([], pa.binary()), "ids": pa.array([], pa.binary()), "names": pa.array([], pa.binary()), "data": pa.array([], pa.binary()), "hot": pa.array([], pa.binary())})
@@ -314,7 +286,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
             return none
         rows = batch_rows(own.column("blob")[0].as_py())
         w = Windows(*utf8(rows.column(1)))
-        shared = np.sort(np.concatenate([uncompressed(x, np.uint64) for x in met.column("data").to_pylist()]))
+        shared = np.sort(np.concatenate([unpack_steps(x) for x in met.column("data").to_pylist()]))
         w._take(np.flatnonzero(_in_sorted(_spread(w.anchor, hash_bits), shared)))
         if not len(w.first):
             return none
@@ -351,8 +323,8 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         name = np.frombuffer(b"".join(table.column("names").to_pylist()), np.uint64)
         data = np.concatenate([uncompressed(x, np.uint8) for x in table.column("data").to_pylist()])
         begin = np.concatenate([[0], np.cumsum(sizes)])
-        # Equal strings become one, with the least of their ids.
-        kind, number = np.unique(name, return_inverse=True)
+        # Equal strings become one, with the least of their ids; a name is one batch's, so strings of other batches are compared.
+        kind, number = np.unique(told_apart(data, begin[:-1], sizes, name), return_inverse=True)
         sample = np.zeros(len(kind), np.int64)
         sample[number[::-1]] = np.arange(len(name))[::-1]
         owner = np.full(len(kind), NO_ID)
@@ -395,7 +367,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
             a += c
         return pa.table({"batch": table.column("batch"), "names": table.column("names"), "hot": table.column("hot"), "n_runs": pa.array([x[0] for x in out], pa.binary()), "run": pa.array([x[1] for x in out], pa.binary()), "least": pa.array([x[2] for x in out], pa.binary())})
 
-    row_type = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")).schema["row"].dataType.toNullable()
+    row_type = df.select(kept_columns.alias("row")).schema["row"].dataType.toNullable()
     kept_field = ", kept binary" if with_text else ""
 
     def mark(own: pa.Table, got: pa.Table) -> pa.Table:
@@ -435,14 +407,10 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
             else:
                 spans.append([])
                 kept.append(body[a:b].tobytes() if with_text else memoryview(body[a:b]))
-        plain = rows.column(0)
-        names = [f.name for f in plain.type if f.name != "__id"]
-        struct = pa.StructArray.from_arrays([plain.field(c) for c in names], names=names)
-        columns = {"row": struct.cast(to_arrow_type(row_type)), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(n_removed.astype(np.int64)), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+        columns = {"row": rows.column(0).field("row").cast(to_arrow_type(row_type)), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(n_removed.astype(np.int64)), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
         return pa.table(columns | ({"kept": pa.array([bytes(x) for x in kept], pa.binary())} if with_text else {}))
 
-    asked = packed.mapInArrow(ask, "bucket int, batch long, data binary").repartition(n, "bucket")
-    met = asked.groupBy("bucket").applyInArrow(meet, "batch long, data binary, hot binary")
+    met = met_again(packed, anchors, bucket_bits, hash_bits, HOT)
     sent = packed.groupBy("batch").cogroup(met.groupBy("batch")).applyInArrow(send, "bucket int, batch long, sizes binary, ids binary, names binary, data binary, hot binary")
     known = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(merge, "batch long, names binary, hot binary, n_runs binary, run binary, least binary")
     return packed.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(mark, f"row {row_type.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string{kept_field}")

@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import components, from_gaps, gaps, local_roots, mix, saved, shuffle_partitions, task_id, utf8
-from proseline.llm.similarity import node_of, similar_texts
+from proseline.llm.common import components, local_roots, saved, utf8
+from proseline.llm.exchange import pack_rows, shared_variants, variant_rows
+from proseline.llm.similarity import similar_texts
 
 #: Fingerprints link at this many differing bits or fewer; each emits its ball of half of that.
 RADIUS = 4
 SHINGLE, SEED = 4, 42
-#: Fingerprints whose variants are made at once, and variants of one bucket.
-BATCH, BUCKET = 2048, 1 << 22
+#: Fingerprints whose variants are made at once.
+BATCH = 2048
 
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 #: All masks of up to two bits: the ball of radius RADIUS / 2.
@@ -66,97 +67,21 @@ def links(fps: DataFrame) -> DataFrame:
     the least of them, and no bucket lists its pairs.
 
     Variants are 2,081 times the fingerprints, and nearly all have one owner. So they are
-    shuffled twice: first a hash of each, a little wider than needed to tell them apart, sorted and
-    stored as 16-bit steps; each bucket reports the hashes met more than once. Then the owners
-    make their variants again and shuffle those with such a hash in full. Work and memory of a
-    task are bounded by BATCH and BUCKET, whatever the input.
+    shuffled twice (see exchange): as hashes in a few bytes each, and in full where a hash was
+    met more than once. A batch has BATCH fingerprints; buckets grow in number with the table, not in size.
     """
-    spark = fps.sparkSession
-    n = shuffle_partitions(spark)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held = task_id(), 0, np.zeros(0, np.int64)
-        for batch in batches:
-            held = np.concatenate([held, np.asarray(batch.column(0))])
-            while len(held) >= BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq]), pa.array([held[:BATCH].tobytes()])], ["batch", "fps"])
-                held, seq = held[BATCH:], seq + 1
-        if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq]), pa.array([held.tobytes()])], ["batch", "fps"])
-
-    packed = saved(fps.select("fp").mapInArrow(pack, "batch long, fps binary").repartition(n, "batch"))
-    total = packed.agg(F.sum(F.octet_length("fps"))).first()[0] or 0
-    variants = total // 8 * len(_BALL)
-    bucket_bits = max(2, (variants // BUCKET).bit_length())
-    hash_bits = min(bucket_bits + 32, max(bucket_bits + 8, variants.bit_length() + 7))
-    low_bits = hash_bits - bucket_bits
+    packed = saved(pack_rows(fps.select("fp"), BATCH))
+    total = (packed.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // 8 * len(_BALL)
 
     def ball(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """All variants, one row of the ball after the other, and their hashes."""
-        z = (_BALL[:, None] ^ np.frombuffer(blob, np.uint64)).ravel()
-        return z, mix(z.copy()) >> np.uint64(64 - hash_bits)
-
-    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes = ball(blob)[1]
-                hashes.sort()
-                cuts = np.searchsorted(hashes, np.arange((1 << bucket_bits) + 1, dtype=np.uint64) << np.uint64(low_bits))
-                low = hashes & np.uint64((1 << low_bits) - 1)
-                full = np.flatnonzero(np.diff(cuts))
-                for a in range(0, len(full), 64):
-                    some = full[a : a + 64].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([number] * len(some)), pa.array([gaps(low[cuts[b] : cuts[b + 1]]) for b in some])], ["bucket", "batch", "data"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        """For each batch the hashes of this bucket that occur more than once."""
-        bucket = table.column("bucket")[0].as_py() if len(table) else 0
-        lists = [from_gaps(x) for x in table.column("data").to_pylist()]
-        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        both = (np.concatenate(lists).astype(np.uint64) << np.uint64(31)) | owner.astype(np.uint64)
-        both.sort()
-        value = both >> np.uint64(31)
-        same = value[1:] == value[:-1]
-        hit = np.zeros(len(value), bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        owner, value = (both[hit] & np.uint64((1 << 31) - 1)).astype(np.int64), value[hit] | np.uint64(bucket << low_bits)
-        order = np.argsort(owner, kind="stable")
-        owner, value = owner[order], value[order]
-        head = np.flatnonzero(np.diff(owner, prepend=-1))
-        ends = np.append(head[1:], len(owner))
-        numbers = table.column("batch").to_pylist()
-        return pa.table({"batch": pa.array([numbers[owner[a]] for a in head], pa.int64()), "data": pa.array([value[a:b].tobytes() for a, b in zip(head, ends)], pa.binary())})
-
-    second_bits = max(2, bucket_bits - 3)
-
-    def second_round(own: pa.Table, met: pa.Table) -> pa.Table:
-        empty = pa.table({"bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
-        if not len(own) or not len(met):
-            return empty
-        wanted = np.unique(np.frombuffer(b"".join(met.column("data").to_pylist()), np.uint64))
-        blob = own.column("fps")[0].as_py()
-        z, hashes = ball(blob)
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(wanted & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        at = np.flatnonzero(maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        at = at[wanted[np.minimum(np.searchsorted(wanted, hashes[at]), len(wanted) - 1)] == hashes[at]]
+        """All variants, one row of the ball after the other, and the fingerprint of each."""
         fp = np.frombuffer(blob, np.uint64)
-        rows = np.stack([z[at], fp[at % len(fp)]], axis=1)
-        bucket = (hashes[at] >> np.uint64(hash_bits - second_bits)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        rows, bucket = rows[order], bucket[order]
-        head = np.flatnonzero(np.diff(bucket, prepend=-1))
-        return pa.table({"bucket": pa.array(bucket[head]), "data": pa.array([rows[a:b].tobytes() for a, b in zip(head, np.append(head[1:], len(rows)))], pa.binary())})
+        return (_BALL[:, None] ^ fp).ravel(), np.tile(fp, len(_BALL))
 
     def verify(table: pa.Table) -> pa.Table:
         """Ties the fingerprints at each variant to the least one; a tie per fingerprint and component is kept."""
-        rows = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint64).reshape(-1, 2)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        new = np.ones(len(rows), bool)
-        new[1:] = rows[1:, 0] != rows[:-1, 0]
-        least = rows[np.flatnonzero(new), 1][np.cumsum(new) - 1]
-        fp = rows[:, 1]
+        fp, variant, begin = variant_rows(table)
+        least = fp[begin][variant]
         near = (fp != least) & (np.bitwise_count(fp ^ least) <= RADIUS)
         nodes, ends = np.unique(np.concatenate([fp[near], least[near]]), return_inverse=True)
         half = len(ends) // 2
@@ -164,9 +89,7 @@ def links(fps: DataFrame) -> DataFrame:
         tie = nodes != root
         return pa.table({"a": pa.array(nodes[tie].view(np.int64)), "b": pa.array(root[tie].view(np.int64))})
 
-    met = packed.mapInArrow(first_round, "bucket int, batch long, data binary").repartition(n, "bucket").groupBy("bucket").applyInArrow(meet, "batch long, data binary")
-    full = packed.groupBy("batch").cogroup(met.groupBy("batch")).applyInArrow(second_round, "bucket int, data binary")
-    return full.groupBy("bucket").applyInArrow(verify, "a long, b long")
+    return shared_variants(packed, ball, total).groupBy("bucket").applyInArrow(verify, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -192,24 +115,22 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """One document of each group of similar texts, with all of its columns: that of the least id.
 
-    Texts are similar at a Jaccard similarity of 0.8 or more of their shingles. At that similarity
-    fingerprints differ in about ten bits, which no ball of op8's kind reaches, so candidates are found
-    by shingles (see similar_texts()) and every link is confirmed by the whole sets. Texts
-    without words are one group.
+    Texts are similar at a Jaccard similarity of 0.8 or more of their shingles; candidates come
+    from ball hashing of several fingerprints, and every link is confirmed by the whole sets (see
+    similar_texts()). Texts without words are one group.
 
-    Ties (null or repeated ids) are broken by the text's digest; of rows that are equal in id and
-    text one stays. Documents are told apart by id and digest, not by where they stand, so a
-    second reading of the input may be split into tasks in another way.
+    Null ids come after all others. Ties (null or repeated ids) are broken by the text's digest; of rows
+    that are equal in id and text one stays, the same whatever the split into tasks: that of the
+    least values of its other columns that can be ordered. An empty table stays empty; a column may have any name.
     """
-    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
-    tied = similar_texts(docs, text_col, shingle)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), digest.alias("digest"), node_of(F.col(f"`{text_col}`")).alias("node"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
+    tied = similar_texts(docs.select(text.alias("text")), "text", shingle)
     name = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("digest"))
-    first = rows.join(tied, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min(name).alias("x"))
-    kept = first.select(F.col("x.id").alias("__id"), F.col("x.digest").alias("__digest"))
-    joined = docs.withColumn("__digest", digest).withColumn("__id", F.col(f"`{id_col}`")).join(
-        kept.select(F.col("__id").alias("__kept"), F.col("__digest").alias("__same")),
-        F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__same")),
-        "left_semi",
-    )
-    return joined.dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
+    first = rows.select("id", "digest").join(tied, "digest", "left").groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min(name).alias("x"))
+    kept = first.select(F.col("x.id").alias("kept_id"), F.col("x.digest").alias("kept_digest"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
+    others = [f"row.`{c}`" for c, t in docs.dtypes if c not in (id_col, text_col) and not t.startswith("map")]
+    found = rows.join(kept, same, "left_semi").groupBy("id", "digest")
+    least = F.min_by("row", F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))) if others else F.first("row")
+    return found.agg(least.alias("row")).select("row.*")

@@ -1,4 +1,4 @@
-"""Near-duplicates by exact Jaccard similarity of shingles: prefix filtering, then comparison of whole sets."""
+"""Near-duplicates at a Jaccard similarity of shingles, found by ball hashing of several SimHash fingerprints."""
 
 from __future__ import annotations
 
@@ -6,20 +6,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proseline.llm.common import components, saved, shuffle_partitions, utf8
+from proseline.llm.common import components, saved, utf8
+from proseline.llm.exchange import pack_rows, shared_variants, variant_rows
 
 #: Texts link at a similarity of OVER / UNDER or more.
 OVER, UNDER = 4, 5
 SEED = 42
-#: Texts whose shingles are counted to find frequent ones, the least count, and how many of them are sent to all tasks.
-SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 3, 200_000
-#: Node numbers that are sent to all tasks (beyond it they are joined), and texts a task remembers.
-MOST_BROADCAST, REMEMBERED = 2_000_000, 1_000_000
-#: Pairs that are listed for each member of a group; while there are more, one leader of each group is compared first.
-PAIRS_A_MEMBER, MOST_ROUNDS = 20, 6
+#: SimHash bits of a text, in words of 64; fingerprints that are drawn from them, and the bits of each.
+#: At the least similarity two texts differ in about 15 of 100 bits.
+WORDS, FINGERPRINTS, BITS = 8, 72, 40
+#: Fingerprints meet at this many differing bits or fewer: each emits its ball of half of that.
+RADIUS = 2
+#: Pairs that differ in more of all bits are far from similar (unrelated texts: 256 of 512) and not compared.
+FAR = 150
+#: Texts whose variants are made at once.
+BATCH = 1400
+#: Digests that are sent to all tasks; beyond it they are joined.
+MOST_BROADCAST = 1_000_000
+
+_CHOSEN = np.stack([np.random.default_rng([SEED, t]).permutation(64 * WORDS)[:BITS] for t in range(FINGERPRINTS)])
+_BALL = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(BITS, dtype=np.uint64)])
+_SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, WORDS, dtype=np.uint64)
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -36,100 +46,66 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(begins)))
 
 
-def prefix(hashes: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The rarest shingles, so many that two sets of the least similarity have one of them in common."""
-    most = len(hashes) - -(-len(hashes) * OVER // UNDER) + 1
-    if not len(frequent):
-        return hashes[:most]
-    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-    rank = np.where(frequent[at] == hashes, level[at], 0)
-    return hashes[np.argsort(rank, kind="stable")[:most]]
+def simhash_bits(hashes: np.ndarray) -> np.ndarray:
+    """64 * WORDS bits, packed: each is set if it is in over half of the shingles' mixed hashes."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    for a in range(0, len(hashes), 1 << 13):
+        x = hashes[a : a + (1 << 13), None] ^ _SALTS
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little")
 
 
-def node_of(text: Column) -> Column:
-    """The number of a text: equal texts are one node."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def fingerprint_values(bits: np.ndarray) -> np.ndarray:
+    """(texts, FINGERPRINTS) numbers of packed bits: which fingerprint, and its BITS bits."""
+    plain = np.unpackbits(bits, axis=1, bitorder="little")
+    out = np.zeros((len(bits), FINGERPRINTS, 8), np.uint8)
+    out[:, :, : BITS // 8] = np.packbits(plain[:, _CHOSEN], axis=2, bitorder="little")
+    return out.view("<u8")[:, :, 0] | (np.arange(FINGERPRINTS, dtype=np.uint64) << np.uint64(BITS))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Node and shingles of each text of (node, text), of equal ones in a task mostly once."""
-    seen: set[int] = set()
-    for batch in batches:
-        body, offsets = utf8(batch.column(1))
-        at, data = offsets.tolist(), memoryview(body)
-        for node, a, b in zip(batch.column(0).to_pylist(), at, at[1:]):
-            if node not in seen:
-                if len(seen) < REMEMBERED:
-                    seen.add(node)
-                yield node, shingles(bytes(data[a:b]), shingle)
+def _texts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Batches whose last column is the text, with the texts' shingles, some at a time."""
+    for whole in batches:
+        for a in range(0, len(whole), 512):
+            batch = whole.slice(a, 512)
+            body, offsets = utf8(batch.column(batch.num_columns - 1))
+            at, data = offsets.tolist(), memoryview(body)
+            yield batch, [shingles(bytes(data[x:y]), shingle) for x, y in zip(at, at[1:])]
 
 
-def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample have, ascending, and their counts. Only the order of a prefix depends on them."""
-    rate = max(1, texts.count() // SAMPLE)
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b, star): distinct pairs of node numbers that share a variant of a fingerprint.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashes in _texts(batches, shingle):
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["hash"])
-
-    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(rate)) == 0)
-    found = some.mapInArrow(run, "hash long").groupBy("hash").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "hash").limit(MOST_FREQUENT).toArrow()
-    hashes, counts = (np.asarray(found.column(i).combine_chunks()) for i in (0, 1))
-    order = np.argsort(hashes.view(np.uint64))
-    return hashes.view(np.uint64)[order], counts[order]
-
-
-def groups(texts: DataFrame, shingle: int) -> DataFrame:
-    """(members, weight): the lists of two or more nodes, with the sizes of their sets, that have so many shingles of their prefixes in common."""
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(frequent_shingles(texts, shingle))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, level = sent.value
-        held, rows = [], 0
-
-        def flush() -> pa.RecordBatch:
-            sizes = [len(keys) for _, keys, _ in held]
-            node, n = np.array([x[0] for x in held], np.int64), np.array([x[2] for x in held], np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[1] for x in held]).view(np.int64)), pa.array(np.repeat(node, sizes)), pa.array(np.repeat(n, sizes))], ["key", "node", "n"])
-
-        for node, hashes in _texts(batches, shingle):
-            keys = prefix(hashes, frequent, level)
-            held.append((node, keys, len(hashes)))
-            rows += len(keys)
-            if rows >= 50_000:
-                yield flush()
-                held, rows = [], 0
-        if held:
-            yield flush()
-
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int32())]))
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by key and node; the last key of a batch may go on in the next."""
-
-        def lists(rows: list[np.ndarray]) -> pa.RecordBatch:
-            key, node, n = rows
-            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            sizes = np.diff(np.append(head, len(key)))
-            keep = np.repeat(sizes > 1, sizes)
-            values = pa.StructArray.from_arrays([pa.array(node[keep]), pa.array(n[keep])], fields=list(kind.value_type))
-            offsets = pa.array(np.r_[0, np.cumsum(sizes[sizes > 1])].astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, values, type=kind)], ["members"])
-
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        for batch in batches:
-            rows = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, batch.columns, strict=True)]
-            if len(rows[0]):
-                new = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]
-                rows = [x[new] for x in rows]
-                cut = int(np.searchsorted(rows[0], rows[0][-1]))
-                yield lists([x[:cut] for x in rows])
-                held = [x[cut:] for x in rows]
-        yield lists(held)
-
-    keys = texts.mapInArrow(run, "key long, node long, n int").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "node")
-    return keys.mapInArrow(shared, "members array<struct<node:long,n:int>>").groupBy("members").agg(F.count("*").alias("weight"))
+    At each variant the nodes are paired with the least of them (star), and each with the
+    next one, so a variant of n nodes gives 2 n pairs at most, and one of three or fewer gives all.
+    """
+    words = [F.col(f"w{k}") for k in range(WORDS)]
+    packed = saved(pack_rows(nodes.select("node", *words), BATCH))
+    total = (packed.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // (8 * (1 + WORDS)) * FINGERPRINTS * len(_BALL)
+
+    def variants(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.frombuffer(blob, np.int64).reshape(-1, 1 + WORDS)
+        values = fingerprint_values(np.ascontiguousarray(rows[:, 1:]).view(np.uint8))
+        return (_BALL[:, None] ^ values.ravel()).ravel(), np.tile(np.repeat(rows[:, 0], FINGERPRINTS), len(_BALL))
+
+    def pair(table: pa.Table) -> pa.Table:
+        node, variant, begin = variant_rows(table)
+        node = node.view(np.int64)
+        low = node[begin][variant] if len(node) else node
+        star = node != low
+        beside = np.zeros(len(node), bool)
+        beside[1:] = (variant[1:] == variant[:-1]) & (node[:-1] != low[1:])
+        before = np.r_[node[:1], node[:-1]]
+        rows = np.stack([np.r_[low[star], before[beside]], np.r_[node[star], node[beside]], np.r_[np.ones(star.sum(), np.int64), np.zeros(beside.sum(), np.int64)]], axis=1)
+        rows = np.unique(rows, axis=0) if len(rows) else rows
+        return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1]), "star": pa.array(rows[:, 2].astype(np.int32))})
+
+    found = shared_variants(packed, variants, total).groupBy("bucket").applyInArrow(pair, "a long, b long, star int")
+    return found.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -151,59 +127,55 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(node, component): the texts that are linked to others, with one name for all that reach each other.
-
-    Texts link if the Jaccard similarity of their sets of word shingles is OVER / UNDER or more. Two such
-    sets have a shingle in common among the first of each in any order (a prefix a little longer than the
-    share that may differ), so no link is missed. Rare shingles come first, by counts of a
-    sample, so that passages of very many texts seldom bring texts together.
-
-    Of each group of texts with a shingle in common one is paired with all others; then all
-    that do not yet reach each other. Of two prefixes the one that ends first has been seen whole, so what
-    two sets may have in common is the shingles of both prefixes and the rest of the larger set
-    at most; pairs for which that is too little are left out. Each other pair counts if its
-    whole sets are similar enough.
+    """(digest, root): the texts that are linked to others, by MD5 digest, with one name for all that reach each other.
+
+    Texts link if the Jaccard similarity of their sets of word shingles is OVER / UNDER or more. Each
+    distinct text has FINGERPRINTS fingerprints of BITS bits, drawn from its SimHash bits, and emits each one's
+    ball of RADIUS / 2; texts that share a variant are candidates. Most of those that are not similar
+    are told by all bits together; the others count if their whole sets are similar enough.
+    Of each variant's nodes the least is compared with all others first; neighbours are
+    compared where that left them apart.
     """
     spark = docs.sparkSession
-    texts = docs.select(node_of(F.col(f"`{text_col}`")).alias("node"), F.col(f"`{text_col}`").alias("text"))
-    found = saved(groups(texts, shingle).withColumn("run", F.monotonically_increasing_id()))
-    listed = found.select("run", "weight", F.explode("members").alias("m")).select("run", "weight", "m.node", "m.n")
+    texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))).alias("digest"), F.col(f"`{text_col}`").alias("text"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            new = []
+            for i, d in enumerate(batch.column(0).to_pylist()):
+                if d not in seen:
+                    new.append(i)
+                    if len(seen) < 1_000_000:
+                        seen.add(d)
+            for some, sets in _texts(iter([batch.take(pa.array(new, pa.int64()))]), shingle):
+                bits = np.stack([simhash_bits(x) for x in sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS))], ["digest", "n", *(f"w{k}" for k in range(WORDS))])
+
+    signed = texts.mapInArrow(sign, "digest binary, n int, " + ", ".join(f"w{k} long" for k in range(WORDS)))
+    nodes = saved(signed.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", *(f"w{k}" for k in range(WORDS))))))
+    nodes = nodes.withColumn("node", F.monotonically_increasing_id())  # of written rows: the same whenever it is asked for
+    found = candidates(nodes)
+    side = lambda name, n: nodes.select(F.col("node").alias(name), F.col("n").alias(n), F.array(*(f"w{k}" for k in range(WORDS))).alias(f"w{name}"))
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = (F.least("na", "nb") * UNDER >= F.greatest("na", "nb") * OVER) & (apart <= FAR)
+    pairs = saved(found.join(side("a", "na"), "a").join(side("b", "nb"), "b").where(near).select("a", "b", "star"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = saved(nodes.select("node", "digest").join(ends, "node"))
+    small = wanted.count() <= MOST_BROADCAST
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, hashes in _texts(batches, shingle):
-            yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([hashes.tobytes()])], ["node", "hashes"])
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        small = wanted.count() <= MOST_BROADCAST
-        return saved(texts.join(F.broadcast(wanted) if small else wanted, "node", "left_semi").mapInArrow(whole, "node long, hashes binary").dropDuplicates(["node"]))
-
-    most, least = F.max(F.greatest("n", "m")), F.max(F.least("n", "m"))
-    enough = F.ceil((most + least) * OVER / (OVER + UNDER)) - F.ceil(most * OVER / UNDER) + 1
-    near = (F.least("n", "m") * UNDER >= F.greatest("n", "m") * OVER) & (F.col("node") != F.col("other"))
-    links, tied = None, None
-    for turn in range(MOST_ROUNDS):
-        if tied is not None:
-            labelled = listed.join(tied, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-            open_runs = labelled.groupBy("run").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("run")
-            rows = saved(labelled.join(open_runs, "run", "left_semi"))
-        else:
-            rows = listed.withColumn("c", F.col("node"))
-        sizes = rows.groupBy("run", "c").agg(F.count("*").alias("k")).groupBy("run").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        count = sizes.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
-        if not count[0]:
-            break
-        last = turn and (turn == MOST_ROUNDS - 1 or count[1] <= PAIRS_A_MEMBER * count[0])
-        others = rows.select("run", F.col("node").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
-        if not last:
-            others = others.groupBy("run").agg(F.min_by(F.struct("other", "m", "d"), F.xxhash64("other", F.lit(turn))).alias("x")).select("run", "x.*")
-        else:
-            near = near & (F.col("node") < F.col("other"))
-        met = rows.join(others, "run").where(near & (F.col("c") != F.col("d"))).groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        pairs = saved(met.agg(F.sum("weight").alias("common"), enough.alias("enough")).where("common >= enough").select("a", "b"))
-        more = saved(similar(pairs, sets_of(pairs)))
-        links = more if links is None else links.union(more)
-        tied = saved(components(links))
-        if last:
-            break
-    return tied if tied is not None else spark.createDataFrame([], "node long, component long")
+        for batch, sets in _texts(batches, shingle):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "hashes"])
+
+    one_each = texts.join(F.broadcast(wanted) if small else wanted, "digest").select("node", "text").mapInArrow(whole, "node long, hashes binary")
+    sets = saved(one_each.groupBy("node").agg(F.first("hashes").alias("hashes")))
+    links = saved(similar(pairs.where("star = 1").select("a", "b"), sets))
+    tied = saved(components(links))
+    label = lambda name: tied.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
+    rest = pairs.where("star = 0").join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    more = saved(similar(saved(rest), sets))
+    tied = saved(components(links.union(more))) if more.count() else tied
+    digest = nodes.select("node", "digest")
+    named = digest.join(tied.select("component").distinct().withColumnRenamed("component", "node"), "node").select(F.col("node").alias("component"), F.col("digest").alias("root"))
+    return digest.join(tied, "node").join(named, "component").select("digest", "root")
