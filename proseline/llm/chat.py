@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 #: The template: TURN role \n body END.
 TURN, END = "<|turn|>", "<|end|>"
-#: Strings that mean something to this or another template. Their first character is escaped.
+#: Strings that mean something to this or another template. Their first character is escaped wherever
+#: it stands, so that no control string arises where escaped texts meet.
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lsqb;"))
 #: Tokens that a part stands for, for each unit of its size (an image's tiles, an audio's seconds, a document's pages).
@@ -18,11 +19,9 @@ PART = "struct<kind:string,text:string,ref:string,units:int>"
 
 def escape(text: Column) -> Column:
     """No control string is left in the result; unescape() gives the text back exactly."""
-    out = F.replace(text, F.lit("&"), F.lit("&amp;"))
-    entity = dict(ESCAPES)
-    for control in CONTROL:
-        out = F.replace(out, F.lit(control), F.lit(entity[control[0]] + control[1:]))
-    return out
+    for char, entity in ESCAPES:
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
 
 
 def unescape(text: Column) -> Column:
@@ -69,14 +68,15 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     order. Null roles and texts count as empty; a null conversation id is a conversation.
     Offsets come from a running sum over the turns; the same partitioning serves the window
     and the aggregation, so there is one shuffle. A conversation becomes one string, as its
-    consumers need it; it is the unit of work and must fit in a task.
+    consumers need it; it is the unit of work and must fit in a task, however long its texts are.
+    An empty table gives no rows; other columns, of any name, take no part.
 
     Returns conv_col, formatted, loss_spans (array of start, end in code points of formatted: the
     bodies of the role to learn), attachments (array of turn position, kind, ref, tokens in order),
     n_turns, expanded_tokens (of all attachments).
     """
-    message = visit_parts(F.col(parts_col))
-    turns = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("raw_role"), _role(F.col(role_col)).alias("role"), message.alias("m"))
+    message = visit_parts(F.col(f"`{parts_col}`"))
+    turns = df.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").alias("raw_role"), _role(F.col(f"`{role_col}`")).alias("role"), message.alias("m"))
     piece = F.concat(F.lit(TURN), F.col("role"), F.lit("\n"), F.col("m.body"), F.lit(END))
     order = W.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), F.col("raw_role").asc_nulls_first(), F.col("m.body"))
     ahead = F.char_length(F.lit(TURN)) + F.char_length("role") + 1
@@ -101,7 +101,12 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
 
 def read_chats(df: DataFrame, formatted_col: str = "formatted", spans_col: str = "loss_spans") -> DataFrame:
-    """Adds turns (array of role, text: placeholders stay) and loss_text (array, unescaped), read from the formatted string."""
+    """Adds turns (array of role, text: placeholders stay) and loss_text (array, unescaped), read from the formatted string.
+
+    A table that has columns of these names already is refused.
+    """
+    if taken := {"turns", "loss_text"} & set(df.columns):
+        raise ValueError(f"columns {sorted(taken)} are there already")
     pieces = F.slice(F.split(F.col(formatted_col), r"<\|turn\|>"), 2, 1 << 30)
     turns = F.transform(
         pieces,
@@ -135,11 +140,9 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_escaped(x: str) -> str:
-    out = f"replace({x}, '&', '&amp;')"
-    entity = dict(ESCAPES)
-    for control in CONTROL:
-        out = f"replace({out}, '{control}', '{entity[control[0]]}{control[1:]}')"
-    return out
+    for char, entity in ESCAPES:
+        x = f"replace({x}, '{char}', '{entity}')"
+    return x
 
 
 ORACLE_OP4 = f"""

@@ -14,11 +14,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import ranges, run_hashes, shuffle_partitions, slices, task_id, use_shared_dir, utf8
+from proseline.llm.common import move, open_folder, put, ranges, remove_folder, run_hashes, saved, shared_folder, shuffle_partitions, slices, task_id, utf8
 
 END_ID = 2
 #: Text encoded at once, and pieces of text whose ids a worker remembers.
-BLOCK, REMEMBERED = 4 << 20, 1_200_000
+BLOCK, REMEMBERED = 4 << 20, 600_000
 
 #: Classes of bytes: blank, other white space, letter, number, other. A character beyond ASCII has the class of its first byte.
 _CLASS = np.full(256, 4, np.uint8)
@@ -28,7 +28,6 @@ _CLASS[48:58] = 3
 #: Second bytes of the letters and numbers among U+00A1 to U+00BF, and of the signs among U+00C0 to U+00FF.
 _LETTERS_C2, _NUMBERS_C2, _SIGNS_C3 = (0xAA, 0xB5, 0xBA), (0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE), (0x97, 0xB7)
 _ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
-_UNUSUAL = np.array([not (b in (9, 10, 13) or 32 <= b < 127 or 128 <= b < 192 or 194 <= b < 198) for b in range(256)])
 #: Byte-level BPE spells bytes that are no visible Latin-1 characters as those from U+0100 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _SPELT = np.arange(256, dtype="<u4")
@@ -36,6 +35,8 @@ _SPELT[_HIDDEN] = 256 + np.arange(len(_HIDDEN))
 
 _UNUSUAL = np.array([not (b in (9, 10, 13) or 32 <= b < 127 or 128 <= b < 192 or 194 <= b < 198) for b in range(256)])
 
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 
 def usual_texts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each text, whether it has only tabs, line ends, visible ASCII and U+00A1 to U+017F, and no "<|"."""
@@ -77,12 +78,32 @@ def piece_starts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+def differing(body: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The pieces whose bytes are not those of piece ``other`` of each."""
+    size = end - begin
+    bad = [np.flatnonzero(size != size[other])]
+    # Eight bytes at a time; what lies beyond a piece is masked away.
+    wide = np.zeros(len(body) + 8, np.uint8)
+    wide[: len(body)] = body
+    words = np.lib.stride_tricks.sliding_window_view(wide, 8)
+    left = np.flatnonzero((size == size[other]) & (other != np.arange(len(begin))))
+    at = 0
+    while len(left):
+        mask = _LOW_BYTES[np.minimum(size[left] - at, 8)]
+        x, y = (np.ascontiguousarray(words[begin[i] + at]).view("<u8")[:, 0] & mask for i in (left, other[left]))
+        bad.append(left[x != y])
+        at += 8
+        left = left[(x == y) & (size[left] > at)]
+    return np.concatenate(bad)
+
+
 class Encoder:
     """Encodes texts with a byte-level BPE tokenizer; each distinct piece of text is encoded once.
 
     Byte-level BPE never merges across pieces, so a text's ids are those of its pieces in order.
-    Pieces are told apart by 64-bit hashes. Texts with other characters than piece_starts() knows,
-    or that may hold a special token, go to the library whole.
+    Hashes only bring pieces together: their bytes are compared, and remembered ones are known by their
+    bytes. Texts with a piece that differs from the first of its hash, with other characters
+    than piece_starts() knows, or that may hold a special token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -93,8 +114,8 @@ class Encoder:
         rule = made["pre_tokenizer"] or {}
         #: Whether texts are cut by the usual rule of byte-level BPE; else all go to the library whole.
         self.by_piece = made["normalizer"] is None and made["model"]["type"] == "BPE" and rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space") and all(x["content"].startswith("<|") for x in made["added_tokens"])
-        #: Hash of a piece -> its number; piece 0 has no ids.
-        self.number: dict[int, int] = {}
+        #: A piece -> its number; piece 0 has no ids.
+        self.number: dict[bytes, int] = {}
         self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(2, np.int64)
 
     def _learn(self, body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
@@ -112,15 +133,17 @@ class Encoder:
         usual = usual_texts(body, offsets) & self.by_piece
         begin = piece_starts(body, offsets)
         end = np.append(begin[1:], len(body))
-        distinct, sample, which = np.unique(run_hashes(body, begin, end), return_index=True, return_inverse=True)
+        _, sample, which = np.unique(run_hashes(body, begin, end), return_index=True, return_inverse=True)
         pieces = np.searchsorted(begin, offsets)
-        before = len(self.begin)
-        names = distinct.tolist()
+        usual[np.searchsorted(pieces, differing(body, begin, end, sample[which]), "right") - 1] = False
+        before, data = len(self.begin), body.tobytes()
+        names = [data[a:b] for a, b in zip(begin[sample].tolist(), end[sample].tolist())]
         numbers = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(numbers < 0)
         numbers[new] = before - 1 + np.arange(len(new))
         self._learn(body, begin[sample[new]], end[sample[new]])
-        self.number.update(zip(distinct[new].tolist(), numbers[new].tolist(), strict=True))
+        fresh = [names[i] for i in new.tolist()]
+        self.number.update(zip(fresh, numbers[new].tolist(), strict=True))
         at = np.where(np.repeat(usual, np.diff(pieces)), numbers[which], 0)
         sizes = self.begin[at + 1] - self.begin[at]
         ids = self.ids[np.repeat(self.begin[at], sizes) + ranges(sizes)]
@@ -128,13 +151,13 @@ class Encoder:
         counts = np.diff(ends, prepend=0)
         whole = np.flatnonzero(~usual).tolist()
         if whole:
-            data, runs, last = memoryview(body), [], 0
-            for i, e in zip(whole, self.tokenizer.encode_batch([bytes(data[offsets[i] : offsets[i + 1]]).decode() for i in whole], add_special_tokens=False), strict=True):
+            runs, last = [], 0
+            for i, e in zip(whole, self.tokenizer.encode_batch([data[offsets[i] : offsets[i + 1]].decode() for i in whole], add_special_tokens=False), strict=True):
                 runs += [ids[last : ends[i]], np.asarray(e.ids, np.uint32)]
                 last, counts[i] = ends[i], len(e.ids)
             ids = np.concatenate([*runs, ids[last:]])
         if len(self.number) > REMEMBERED:  # what came first is kept: it is what is frequent
-            for name in distinct[new].tolist():
+            for name in fresh:
                 del self.number[name]
             self.begin = self.begin[:before]
             self.ids = self.ids[: self.begin[-1]]
@@ -150,35 +173,34 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
-
-
-def put(uri: str, name: str, data: np.ndarray | list[np.ndarray]) -> None:
-    """Written under another name and moved, so that a task that is run again leaves whole files."""
-    store, path = open_folder(uri)
-    own = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(own) as out:
-        for x in data if isinstance(data, list) else [data]:
-            out.write(np.ascontiguousarray(x))
-    store.move(own, f"{path}/{name}")
-
-
-def mapped(uri: str, name: str, dtype: str) -> np.ndarray:
-    """A file's numbers; memory-mapped where the folder is a local or mounted one, else read."""
+def mapped(uri: str, name: str, dtype: str, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """A file's numbers from begin to end; memory-mapped where the folder is a local or mounted one, else read."""
     store, path = open_folder(uri)
     if isinstance(store, pafs.LocalFileSystem):
-        return np.frombuffer(pa.memory_map(f"{path}/{name}").read_buffer(), dtype)
+        return np.frombuffer(pa.memory_map(f"{path}/{name}").read_buffer(), dtype)[begin:end]
+    size = np.dtype(dtype).itemsize
     with store.open_input_file(f"{path}/{name}") as f:
-        return np.frombuffer(f.read_buffer(), dtype)
+        return np.frombuffer(f.read_at((f.size() // size if end is None else end) * size - begin * size, begin * size), dtype)
 
 
 class TokenFiles:
     """Token files in one folder: for part k ids-k.bin (u2 or u4), offsets-k.bin (i8, one more than
     documents, counted from the first id of all parts), docs-k.bin (i8 ids) and nulls-k.bin (u1)."""
 
-    def __init__(self, folder: str, dtype: str, bases: dict[int, int]):
-        self.folder, self.dtype, self.bases = folder, dtype, bases
+    def __init__(self, folder: str, dtype: str, bases: dict[int, int], n_ids: int):
+        self.folder, self.dtype, self.bases, self.n_ids = folder, dtype, bases, n_ids
+
+    def documents(self, low: int, high: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(part, place in the part's ids, ids, nulls, lengths) of the documents whose first id is the low-th to the one before the high-th."""
+        parts = sorted(self.bases)
+        ends = [*(self.bases[p] for p in parts[1:]), self.n_ids]
+        for part, end in zip(parts, ends, strict=True):
+            if self.bases[part] < high and end > low:
+                offsets = mapped(self.folder, f"offsets-{part:06d}.bin", "<i8")
+                a, b = np.searchsorted(offsets[:-1], [low, high]).tolist()
+                if a < b:
+                    docs, nulls = mapped(self.folder, f"docs-{part:06d}.bin", "<i8", a, b), mapped(self.folder, f"nulls-{part:06d}.bin", "u1", a, b)
+                    yield part, int(offsets[a] - offsets[0]), docs, nulls.astype(bool), np.diff(offsets[a : b + 1])
 
     def read(self, spark: SparkSession, id_col: str = "doc_id") -> DataFrame:
         """One row for each document: id_col, start, n_tokens, ids_crc32 (of the ids as little-endian u4), part."""
@@ -196,10 +218,10 @@ class TokenFiles:
                         m = len(crc)
                         yield pa.RecordBatch.from_arrays([pa.array(docs[a : a + m], mask=nulls[a : a + m].astype(bool)), pa.array(offs[:-1]), pa.array(np.diff(offs)), pa.array(crc, pa.int64()), pa.array(np.full(m, part, np.int64))], names)
 
-        return _parts(spark, self.bases).mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long, part long")
+        return parts_of(spark, self.bases).mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long, part long")
 
 
-def _parts(spark: SparkSession, bases: dict[int, int]) -> DataFrame:
+def parts_of(spark: SparkSession, bases: dict[int, int]) -> DataFrame:
     """One row and one task for each part that has documents."""
     numbers = sorted(bases)
     at = F.element_at(F.lit(numbers) if numbers else F.array().cast("array<bigint>"), (F.col("id") + 1).cast("int"))
@@ -213,11 +235,12 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str | None = None,
     writes one part, text by text in blocks. The parts' numbers of ids give each part's base by a
     prefix sum (one number per part on the driver), and a second, small job writes the offsets.
     Ids take two bytes where the vocabulary allows it, else four. Files go to the folder that the
-    executors share. Null texts are empty: a document of the end id alone. Repeated rows are
-    written as often as they occur; an empty table gives no parts.
+    executors share: ``folder``, or one that is removed when the driver ends. Null texts are empty: a
+    document of the end id alone. Repeated rows are written as often as they occur; texts of any length are encoded
+    whole; an empty table gives no parts; other columns, of any name, take no part.
     """
     spark = df.sparkSession
-    uri = folder or f"{use_shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    uri = folder or shared_folder(spark, "tokens")
     store, path = open_folder(uri)
     store.create_dir(path, recursive=True)
     dtype = "<u2" if max(encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
@@ -240,15 +263,15 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str | None = None,
                 nulls.append(np.asarray(batch.column(0).is_null()).astype(np.uint8))
         total = int(sum(map(np.sum, counts)))
         if docs:
-            store.move(own, f"{path}/{name}")
-            put(uri, f"docs-{part:06d}.bin", docs)
-            put(uri, f"nulls-{part:06d}.bin", nulls)
-            put(uri, f"counts-{part:06d}.bin", counts)
+            move(store, own, f"{path}/{name}")
+            put(uri, f"docs-{part:06d}.bin", *docs)
+            put(uri, f"nulls-{part:06d}.bin", *nulls)
+            put(uri, f"counts-{part:06d}.bin", *counts)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total], pa.int64())], ["part", "n"])
         else:
             store.delete_file(own)
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     keys = ["id", F.xxhash64("text"), F.monotonically_increasing_id()]
     rows = rows.select("*", keys[1].alias("h"), keys[2].alias("tie"))
     ranged = rows.repartitionByRange(shuffle_partitions(spark), "id", "h", "tie").sortWithinPartitions("id", "h", "tie").select("id", "text")
@@ -264,25 +287,15 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str | None = None,
                 put(uri, f"offsets-{part:06d}.bin", bases[part] + np.concatenate([[0], np.cumsum(counts)]).astype("<i8"))
             yield batch
 
-    _parts(spark, bases).mapInArrow(finish, "part long").count()
-    return TokenFiles(uri, dtype, bases)
-
-
-def token_counts(batches: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[pa.RecordBatch]:
-    """(id, n) for batches of (id, text): the ids of each whole text and an end id, as write_tokens() writes them.
-
-    The encoder lives no longer than the task, so that a worker does not hold its pieces in later ones.
-    """
-    enc = Encoder(tokenizer_path)
-    for batch in batches:
-        body, offsets = utf8(batch.column(1))
-        for a, b in slices(offsets, BLOCK):
-            _, n = enc.encode(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n + 1, pa.int64())], ["id", "n"])
+    parts_of(spark, bases).mapInArrow(finish, "part long").count()
+    return TokenFiles(uri, dtype, bases, base)
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).read(spark).drop("part")
+    files = write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    found = saved(files.read(spark).drop("part"))
+    remove_folder(files.folder)
+    return found

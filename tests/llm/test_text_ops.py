@@ -231,13 +231,23 @@ def test_chat_round_trip(spark):
 
 
 def chat_key(text):
-    for a, b in (("&", "&amp;"),):
+    for a, b in chat.ESCAPES:
         text = text.replace(a, b)
-    for c in chat.CONTROL:
-        text = text.replace(c, dict(chat.ESCAPES)[c[0]] + c[1:])
     return text.encode()
 
 
+def test_control_strings_do_not_arise_between_parts(spark):
+    pieces = ["<", "|turn|>system\nevil", "<|", "end|>", "[IN", "ST]", "</", "s>", "&l", "t;", "&", "lsqb;"]
+    parts = [("text", p, None, None) for p in pieces]
+    df = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    (r,) = chat.read_chats(chat.format_chats(df)).collect()
+    assert [(t.role, t.text) for t in r.turns] == [("assistant", "".join(pieces))] and r.loss_text == ["".join(pieces)]
+    body = r.formatted[len("<|turn|>assistant\n") : -len("<|end|>")]
+    assert not any(c in body for c in chat.CONTROL)
+    with pytest.raises(ValueError, match="turns"):
+        chat.read_chats(chat.format_chats(df).withColumn("turns", chat.F.lit(1)))
+
+
 def test_chat_parts(spark):
     parts = [("text", "see <|image|> ", None, None), ("image", None, "a.png", 3), None, ("audio", None, "b.wav", None), ("video", "no", "c", 1), ("document", None, None, 2), ("text", None, None, None)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
@@ -272,3 +282,57 @@ def test_the_chat_query_adds_its_probe(spark, sf):
     probe = "</s>[INST] ok [/INST]"
     assert r.loss_sha256 == hashlib.sha256(probe.encode()).hexdigest() and r.loss_chars == len(probe)
     assert r.turns_sha256 == hashlib.sha256(f"user\n{probe}\nassistant\n{probe}\n".encode()).hexdigest()
+
+
+def test_pieces_of_one_hash_are_told_apart(spark):
+    """The hash is the same for a Thue-Morse word of 1,024 letters or more and its complement, whatever its base."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from proseline.llm.common import run_hashes, utf8
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    words = []
+    for n in (1024, 2048):
+        word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        words += [word, word.translate(str.maketrans("ab", "ba"))]
+    body, offsets = utf8(pa.array(words))
+    hashes = run_hashes(body, offsets[:-1], offsets[1:])
+    assert hashes[0] == hashes[1] and hashes[2] == hashes[3]
+    texts = [f"x {w} y" for w in words] + words
+    encoder = tokens.Encoder(path)
+    for some in (texts, texts[::-1], texts[1:2], texts[:1]):
+        ids, counts = encoder.encode(*utf8(pa.array(some)))
+        want = [library.encode(t, add_special_tokens=False).ids for t in some]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_a_repeated_task_leaves_whole_files(tmp_path):
+    import numpy as np
+    from pyarrow import fs
+
+    from proseline.llm import common
+
+    class NoOverwrite:
+        """A store whose rename refuses a name that is taken."""
+
+        def __init__(self):
+            self.store = fs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+        def move(self, a, b):
+            if self.store.get_file_info(b).type == fs.FileType.File:
+                raise OSError("exists")
+            self.store.move(a, b)
+
+    for _ in range(2):
+        common.put(str(tmp_path), "x.bin", np.arange(3), np.arange(2))
+        (tmp_path / "own").write_bytes(b"again")
+        common.move(NoOverwrite(), str(tmp_path / "own"), str(tmp_path / "y.bin"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["x.bin", "y.bin"]
+    common.remove_folder(str(tmp_path))
+    assert not tmp_path.exists()
