@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -10,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import mix, power_tables, ranges, utf8
+from proseline.llm.common import mix, open_folder, power_tables, put, ranges, shared_folder, utf8
 
 WINDOW = 10
-#: Benchmark text that one pass searches for; a larger benchmark takes several passes.
-BLOCK_BYTES = 8 << 20
+#: Benchmark text of one search table, and rows that are searched for one table after the other.
+BLOCK_BYTES, HELD = 8 << 20, 32 << 20
 #: Bytes hashed at once, and windows of a lane of the search.
 SEGMENT, LANE = 1 << 19, 256
 
@@ -143,18 +144,49 @@ class Benchmark:
         return np.diff(first), spans, found
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[Benchmark]:
-    """The benchmark in blocks of BLOCK_BYTES; only one block's rows are on the driver at a time."""
-    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")))
-    held, size = [], 0
+def parts_of_item(text: str, window: int) -> Iterator[str]:
+    """A text in parts of some BLOCK_BYTES, which have all but one of a window's words in common."""
+    if len(text) < BLOCK_BYTES:
+        yield text
+        return
+    w = word_list(text.encode())
+    per = max(window, BLOCK_BYTES * len(w) // (1 + sum(map(len, w)) + len(w)))
+    for a in range(0, max(1, len(w) - window + 1), per):
+        yield b" ".join(w[a : a + per + window - 1]).decode()
+
+
+def write_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> tuple[str, int]:
+    """The benchmark's search tables in blocks of BLOCK_BYTES, a file each in the shared folder; returns the folder and their number.
+
+    Only one block's rows are on the driver at a time.
+    """
+    spark = benchmark.sparkSession
+    folder = shared_folder(spark, "benchmark")
+    store, path = open_folder(folder)
+    store.create_dir(path, recursive=True)
+    rows = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    held, size, n = [], 0, 0
+
+    def write() -> None:
+        put(folder, f"{n}.bin", np.frombuffer(pickle.dumps(Benchmark(held, window)), np.uint8))
+
     for item, text in rows.toLocalIterator():
-        held.append((item, text))
-        size += len(text)
-        if size >= BLOCK_BYTES:
-            yield Benchmark(held, window)
-            held, size = [], 0
-    if held:
-        yield Benchmark(held, window)
+        for part in parts_of_item(text, window):
+            held.append((item, part))
+            size += len(part)
+            if size >= BLOCK_BYTES:
+                write()
+                held, size, n = [], 0, n + 1
+    if held or not n:
+        write()
+        n += 1
+    return folder, n
+
+
+def read_block(folder: str, number: int) -> Benchmark:
+    store, path = open_folder(folder)
+    with store.open_input_file(f"{path}/{number}.bin") as f:
+        return pickle.loads(f.read())
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -172,38 +204,52 @@ def find_overlap(df: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """Search every whole text for the windows of all benchmark items.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none,
-    is one window. The benchmark is sent to the tasks in blocks of a fixed size, and each block
-    is one pass over the rows; one pass is enough for any usual benchmark. There is no shuffle.
-    Null texts have no words; null item ids are named 'null'; repeated rows are each searched.
+    is one window. The benchmark's search tables are files of a fixed size in the shared folder; a
+    task holds HELD bytes of rows and one table at a time, and searches them for each table in turn; one is
+    enough for any usual benchmark. There is no shuffle, and nothing of the benchmark is in the plan.
+    Null texts have no words; texts and items of any length are searched whole; null item ids are named 'null';
+    repeated rows are each searched; an empty table gives no rows, an empty benchmark no hits.
 
     Returns row (a struct of all columns of df, so that names cannot clash), n_words, hits
     (array of start, end in words, merged) and items (ids of the items found, as strings, sorted).
     """
-    out = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
-    out = out.select("row", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    schema = out.schema
-    passes = list(blocks_of(benchmark, item_col, item_text_col, window)) or [Benchmark([], window)]
-
-    def one_pass(block: Benchmark):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = batch.column(0)
-                body, offsets = utf8(rows.field(text_col))
-                n_words, spans, found = block.search(body, offsets)
-                hits, items = batch.column(2), batch.column(3)
-                if spans:
-                    old_hits, old_items = hits.to_pylist(), items.to_pylist()
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    folder, n_blocks = write_blocks(benchmark, item_col, item_text_col, window)
+    span, item = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, Benchmark] = {}
+
+        def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = [utf8(b.column(0).field(text_col)) for b in held]
+            n_words = [np.zeros(len(b), np.int64) for b in held]
+            hits: list[dict[int, list[tuple[int, int]]]] = [{} for _ in held]
+            items: list[dict[int, set[str]]] = [{} for _ in held]
+            for number in range(n_blocks):
+                if number not in known:
+                    known.clear()
+                    known[number] = read_block(folder, number)
+                for k, (body, offsets) in enumerate(texts):
+                    n_words[k], spans, found = known[number].search(body, offsets)
                     for t, new in spans.items():
-                        old_hits[t] = [{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in old_hits[t]] + list(new))]
-                        old_items[t] = sorted({*old_items[t], *found[t]})
-                    hits, items = pa.array(old_hits, hits.type), pa.array(old_items, items.type)
-                yield pa.RecordBatch.from_arrays([rows, pa.array(n_words.astype(np.int64)), hits, items], ["row", "n_words", "hits", "items"])
-
-        return run
-
-    for block in passes:
-        out = out.mapInArrow(one_pass(block), schema)
-    return out
+                        hits[k][t] = merged(hits[k].get(t, []) + list(new))
+                        items[k].setdefault(t, set()).update(found[t])
+            for k, batch in enumerate(held):
+                spans = [[{"start": a, "end": b} for a, b in hits[k].get(t, ())] for t in range(len(batch))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words[k]), pa.array(spans, span), pa.array([sorted(items[k].get(t, ())) for t in range(len(batch))], item)], ["row", "n_words", "hits", "items"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HELD or n_blocks == 1:
+                yield from search(held)
+                held, size = [], 0
+        if held:
+            yield from search(held)
+
+    form = f"row {rows.schema['row'].dataType.simpleString()}, n_words long, hits array<struct<start:int,end:int>>, items array<string>"
+    return rows.mapInArrow(run, form)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,9 +266,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that contain no window of the benchmark, with their columns."""
-    return find_overlap(docs, benchmark, text_col).where(F.size("hits") == 0).select("row.*")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: int = WINDOW) -> DataFrame:
+    """The documents without a run of ``least`` or more words, side by side, that windows of the benchmark cover; with their columns.
+
+    So an item of fewer words, which may be one common word, removes no document where it stands alone; with least=1 any hit does.
+    """
+    long = F.exists("hits", lambda x: x["end"] - x["start"] >= least)
+    return find_overlap(docs, benchmark, text_col).where(~long).select("row.*")
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

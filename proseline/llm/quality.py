@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import batch_rows, compressed, pack_batches, saved, slices, uncompressed, utf8
+from proseline.llm.common import batch_rows, compressed, open_folder, pack_batches, put, saved, shared_folder, shuffle_partitions, slices, uncompressed, utf8
 
 #: Bytes of an n-gram. Five bytes and their counts are told apart by 40 bits.
 ORDER = 5
-#: Text of a batch, and batches that one group of requests comes from.
-BATCH_BYTES, BATCHES_A_GROUP = 8 << 20, 128
-#: Shards of the model, by the last two bytes of the context.
-SHARDS = 48
+#: Text of a batch; n-grams of a shard of the model, by mean; text whose requests one task answers for one shard, if there were one.
+BATCH_BYTES, SHARD_GRAMS, ANSWERED = 8 << 20, 1 << 16, 256 << 20
 #: The quantile of trusted documents' log perplexities that is a language's threshold, and how many
 #: trusted documents a language needs for a threshold of its own.
 QUANTILE, LEAST_TRUSTED = 0.99, 20
 #: Every so-manieth trusted document, by a hash of its id, sets thresholds and is not trained on.
 FOLDS = 5
-#: Bytes of mean surprise that are added to a document, so that short ones are not judged on a few words.
+#: Bytes of median surprise that are added to a document, so that short ones are not judged on a few words.
 PRIOR_BYTES = 64
 #: Trusted ids up to this number are sent to all tasks; beyond it they are joined.
 MOST_BROADCAST = 2_000_000
-#: Log probabilities are sent as multiples of this.
-STEP = 1 / 2048
+#: Language tables up to this number of rows are sent to all tasks; beyond it they are joined.
+MOST_LANGUAGES = 100_000
+#: Log probabilities are sent as multiples of this, in 16 bits: down to exp(-136), less than any byte has after
+#: ORDER interpolations by counts of a hundred terabytes.
+STEP = 1 / 480
 
-_PAIR_SHARD = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SHARDS
 _MASKS = [np.uint64((1 << 8 * k) - 1) for k in range(ORDER + 1)]
 
 
@@ -46,9 +48,10 @@ def grams(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def shard_of(codes: np.ndarray) -> np.ndarray:
+def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
     """By the two bytes before the last: an n-gram, its context and all that either backs off to meet in one shard."""
-    return _PAIR_SHARD[((codes >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)]
+    pair = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
+    return pair[((codes >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)]
 
 
 def _packed_codes(sorted_codes: np.ndarray) -> bytes:
@@ -68,11 +71,11 @@ def _sum_equal(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return codes[head], np.add.reduceat(counts[order], head) if len(codes) else counts
 
 
-def _by_shard(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _by_shard(codes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, places in codes), in the order of codes."""
-    shards = shard_of(codes)
-    order = np.argsort(shards.astype(np.uint8 if SHARDS <= 256 else np.uint16), kind="stable")
-    cuts = np.searchsorted(shards[order], np.arange(SHARDS + 1))
+    own = shard_of(codes, shards)
+    order = np.argsort(own.astype(np.uint8 if shards <= 256 else np.uint16), kind="stable")
+    cuts = np.searchsorted(own[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(cuts)).tolist():
         yield s, order[cuts[s] : cuts[s + 1]]
 
@@ -163,11 +166,28 @@ class Scorer:
         return np.log(p)
 
 
-def train(texts: DataFrame) -> tuple[DataFrame, Lower]:
-    """Count all n-grams of the column ``text``; returns (shard, codes, counts), one row a shard, and the low orders.
+class Model:
+    """Where the shards' n-grams and counts are, one file each, how many there are, and the low orders."""
 
-    Each task sums its n-grams before they are shuffled by shard. The driver sees the counts of
-    counts and at most 2^16 bigram counts, whatever the input.
+    def __init__(self, folder: str, shards: int, lower: Lower):
+        self.folder, self.shards, self.lower = folder, shards, lower
+
+    def scorer(self, shard: int) -> Scorer:
+        store, path = open_folder(self.folder)
+        name = f"{path}/{shard}.bin"
+        if store.get_file_info(name).type != pafs.FileType.File:  # no n-gram of it was met
+            return Scorer(Shard(np.zeros(0, np.uint64), np.zeros(0, np.int64)), self.lower)
+        with store.open_input_file(name) as f:
+            table = pa.ipc.open_stream(f).read_all()
+        return Scorer(Shard(table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()), self.lower)
+
+
+def train(texts: DataFrame) -> Model:
+    """Count all n-grams of the column ``text`` and write the model's shards to the shared folder.
+
+    Each task sums its n-grams; sums are combined before and after a shuffle by n-gram, so no
+    task holds more than its share of the distinct ones. Shards grow in number with these. The driver
+    sees their number, the counts of counts and at most 2^16 bigram counts.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +195,8 @@ def train(texts: DataFrame) -> tuple[DataFrame, Lower]:
 
         def flush() -> Iterator[pa.RecordBatch]:
             codes, n = _sum_equal(*(np.concatenate(x) for x in zip(*held)))
-            for s, at in _by_shard(codes):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed_codes(codes[at])]), pa.array([compressed(n[at])])], ["shard", "codes", "counts"])
+            for a in range(0, len(codes), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[a : a + (1 << 16)].view(np.int64)), pa.array(n[a : a + (1 << 16)])], ["code", "n"])
 
         for batch in batches:
             body, offsets = utf8(batch.column(0))
@@ -191,32 +211,40 @@ def train(texts: DataFrame) -> tuple[DataFrame, Lower]:
         if held:
             yield from flush()
 
-    def merge(table: pa.Table) -> pa.Table:
-        codes = [_unpacked_codes(x) for x in table.column("codes").to_pylist()]
-        counts = [uncompressed(x, np.int64) for x in table.column("counts").to_pylist()]
-        c, n = _sum_equal(np.concatenate(codes), np.concatenate(counts))
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "codes": [_packed_codes(c)], "counts": [compressed(n)]})
-
-    form = "shard int, codes binary, counts binary"
-    model = saved(texts.select("text").mapInArrow(count, form).groupBy("shard").applyInArrow(merge, form))
+    spark = texts.sparkSession
+    counts = saved(texts.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    shards = min(1 << 16, max(8, counts.count() // SHARD_GRAMS))
+    folder = shared_folder(spark, "model")
+    store, path = open_folder(folder)
+    store.create_dir(path, recursive=True)
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for codes, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rows = Shard(_unpacked_codes(codes), uncompressed(counts, np.int64)).statistics()
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["level", "key", "n"])
+            own = shard_of(np.asarray(batch.column(0)).view(np.uint64), shards)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *batch.columns], ["shard", "code", "n"])
+
+    def write(table: pa.Table) -> pa.Table:
+        number = table.column("shard")[0].as_py()
+        table = table.select(["code", "n"]).sort_by("code")
+        out = io.BytesIO()
+        with pa.ipc.new_stream(out, table.schema) as w:
+            w.write_table(table)
+        put(folder, f"{number}.bin", np.frombuffer(out.getbuffer(), np.uint8))
+        rows = Shard(table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()).statistics()
+        return pa.table({x: pa.array(c, pa.int64()) for x, c in zip(("level", "key", "n"), zip(*rows))})
 
-    rows = model.mapInArrow(describe, "level long, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n")).collect()
-    return model, Lower([tuple(r) for r in rows])
+    rows = counts.mapInArrow(assign, "shard int, code long, n long").groupBy("shard").applyInArrow(write, "level long, key long, n long")
+    return Model(folder, shards, Lower([tuple(r) for r in rows.groupBy("level", "key").agg(F.sum("n").alias("n")).collect()]))
 
 
-def perplexities(df: DataFrame, model: DataFrame, lower: Lower, text_col: str = "text") -> DataFrame:
+def perplexities(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """row (a struct of df's columns without text_col), n_bytes and surprise (natural log, over all bytes of the whole text).
 
     Texts are packed into compressed batches, which are shuffled once and read twice. Each batch
     asks the model's shards for its distinct n-grams, sorted and stored as steps; a shard
-    answers with their log probabilities; the batch adds them up for each text. The groups that
-    answer hold one shard of the model and the requests of BATCHES_A_GROUP batches at most.
+    answers with their log probabilities; the batch adds them up for each text. Requests are dealt by
+    shard and read one by one; the task that answers them reads the shard's file once, and holds one
+    request and one shard. A shard that very many batches ask is read by several tasks, each for a fixed amount of requests.
     """
     kind = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")).schema["row"].dataType.toNullable()
     packed = pack_batches(df, text_col, BATCH_BYTES)
@@ -228,27 +256,26 @@ def perplexities(df: DataFrame, model: DataFrame, lower: Lower, text_col: str =
                 codes = grams(body, offsets)
                 codes.sort()
                 codes = codes[np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])] if len(codes) else codes
-                for s, at in _by_shard(codes):
+                for s, at in _by_shard(codes, shards):
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([number]), pa.array([_packed_codes(codes[at])])], ["shard", "batch", "codes"])
 
     size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
-    salts = 1 + size // (BATCH_BYTES * BATCHES_A_GROUP)
+    spark, shards = df.sparkSession, model.shards
+    salts = 1 + size // (ANSWERED * shards)
     asked = packed.mapInArrow(ask, "shard int, batch long, codes binary").withColumn("salt", F.pmod(F.xxhash64("batch"), F.lit(salts)).cast("int"))
-    copies = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-    def answer(requests: pa.Table, known: pa.Table) -> pa.Table:
-        if len(known):
-            shard = Shard(_unpacked_codes(known.column("codes")[0].as_py()), uncompressed(known.column("counts")[0].as_py(), np.int64))
-        else:
-            shard = Shard(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        scorer = Scorer(shard, lower)
-        said = []
-        for x in requests.column("codes").to_pylist():
-            steps = np.rint(-scorer.log_probabilities(_unpacked_codes(x)) / STEP)
-            said.append(compressed(np.minimum(steps, 65535).astype(np.uint16)))
-        return pa.table({"batch": requests.column("batch"), "shard": requests.column("shard"), "said": pa.array(said, pa.binary())})
-
-    answers = asked.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(answer, "batch long, shard int, said binary")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, scorer = -1, None
+        for rows in batches:
+            for s, x, batch in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                if s != number:
+                    number, scorer = s, model.scorer(s)
+                steps = np.rint(-scorer.log_probabilities(_unpacked_codes(x)) / STEP)
+                yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([s], pa.int32()), pa.array([compressed(steps.astype(np.uint16))], pa.binary())], ["batch", "shard", "said"])
+
+    dealt = asked.select("shard", "codes", "batch", "salt").repartition(max(shuffle_partitions(spark), min(shards * salts, 100_000)), "shard", "salt").sortWithinPartitions("shard")
+    answers = dealt.select("shard", "codes", "batch").mapInArrow(answer, "batch long, shard int, said binary")
+
     def score(own: pa.Table, got: pa.Table) -> pa.Table:
         if not len(own):
             return pa.table({"row": pa.array([], row_type), "n_bytes": pa.array([], pa.int64()), "surprise": pa.array([], pa.float64())})
@@ -263,7 +290,7 @@ def perplexities(df: DataFrame, model: DataFrame, lower: Lower, text_col: str =
         distinct = codes[head]
         steps = np.zeros(len(distinct), np.float64)
         said = dict(zip(got.column("shard").to_pylist(), got.column("said").to_pylist(), strict=True))
-        for s, at in _by_shard(distinct):
+        for s, at in _by_shard(distinct, shards):
             steps[at] = uncompressed(said[s], np.uint16)
         each = np.repeat(steps * STEP, np.diff(np.append(head, len(codes))))
         surprise = np.bincount(text, weights=each, minlength=len(rows)) if len(rows) else np.zeros(0)
@@ -281,33 +308,41 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Trusted are all texts whose id is labelled with quality 1 (and not 0 elsewhere). The model is
     trained on all of them but one fold, and scores all texts. A language's threshold is the
     QUANTILE of the log perplexities of that fold, which the model has not seen; languages with
-    fewer than LEAST_TRUSTED documents in it use that of the whole fold.
-    A text's perplexity is mixed with PRIOR_BYTES bytes of its language's median, so that short texts are judged mildly.
+    fewer than LEAST_TRUSTED documents in it use that of the whole fold. A text at its threshold is kept.
+    A text's perplexity is mixed with PRIOR_BYTES bytes of its language's median, so that a few words are
+    not judged alone: without it, short trusted texts set thresholds that let more bad texts pass.
 
-    Null and empty texts have a null perplexity and are not kept. Null ids are never trusted.
-    Where no document is trusted there is no threshold, and every text is kept. Repeated rows are each judged.
+    Null and empty texts have a null perplexity and are not kept; texts of any length are scored whole. Null ids are
+    never trusted; a null language is one of its own. Where no document is trusted there is no threshold, and every
+    text is kept. Repeated rows are each judged; an empty table gives no rows; columns may have any name.
 
     Returns row (a struct of df's columns without text_col), n_bytes, log_ppl, threshold, keep.
     """
-    lang = F.coalesce(F.col(f"row.`{lang_col}`"), F.lit(""))
+    lang = F.coalesce(F.col(f"row.`{lang_col}`").cast("string"), F.lit(""))
     good = saved(labels.select(F.col("doc_id").alias("id"), "quality").where("id is not null and quality is not null").groupBy("id").agg(F.min("quality").alias("q")).where("q = 1").select("id"))
     small = good.count() <= MOST_BROADCAST
     good, held = good.where(F.pmod(F.xxhash64("id"), F.lit(FOLDS)) != 0), good.where(F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0)
-    trusted_docs = df.join(F.broadcast(good) if small else good, df[id_col] == good["id"], "left_semi")
-    model, lower = train(trusted_docs.select(F.col(text_col).alias("text")))
-    scored = saved(perplexities(df, model, lower, text_col))
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    scored = saved(perplexities(df, train(texts.join(F.broadcast(good) if small else good, "id", "left_semi").select("text")), text_col))
+    scored = scored.withColumn("l", lang)
     mean = F.col("surprise") / F.when(F.col("n_bytes") > 0, F.col("n_bytes"))
-    trusted = scored.join(F.broadcast(held) if small else held, F.col(f"row.`{id_col}`") == held["id"], "left_semi").select(lang.alias("l"), mean.alias("m"), "n_bytes", "surprise").where("m is not null")
-    middle = trusted.groupBy("l").agg(F.percentile_approx("m", 0.5, 10_000).alias("median"), F.count("*").alias("n_trusted"))
-    overall = trusted.agg(F.percentile_approx("m", 0.5, 10_000).alias("all_median"))
-    mixed = lambda median: (F.col("surprise") + PRIOR_BYTES * median) / (F.col("n_bytes") + PRIOR_BYTES)
-    edge = lambda median: (F.percentile_approx(mixed(median), QUANTILE, 10_000)).alias("edge")
-    per_lang = trusted.join(middle.where(F.col("n_trusted") >= LEAST_TRUSTED), "l").groupBy("l", "median").agg(edge(F.col("median")))
-    of_all = trusted.crossJoin(F.broadcast(overall)).groupBy("all_median").agg(edge(F.col("all_median")).alias("all_edge"))  # one row
-    table = scored.withColumn("l", lang).join(per_lang, "l", "left").join(F.broadcast(of_all), F.lit(True), "left")
-    median, high = F.coalesce("median", "all_median"), F.coalesce("edge", "all_edge")
-    log_ppl = F.when(F.col("n_bytes") > 0, F.coalesce(mixed(median), F.col("surprise") / F.col("n_bytes")))
-    return table.select("row", "n_bytes", log_ppl.alias("log_ppl"), high.alias("threshold")).withColumn("keep", F.col("log_ppl").isNotNull() & F.coalesce(F.col("log_ppl") <= F.col("threshold"), F.lit(True)))
+    trusted = saved(scored.select(F.col(f"row.`{id_col}`").alias("id"), "l", "n_bytes", "surprise", mean.alias("m")).where("m is not null").join(F.broadcast(held) if small else held, "id", "left_semi"))
+    middle, mixed = F.percentile_approx("m", 0.5, 10_000), (F.col("surprise") + PRIOR_BYTES * F.col("median")) / (F.col("n_bytes") + PRIOR_BYTES)
+    medians = trusted.groupBy("l").agg(middle.alias("median"), F.count("*").alias("n_trusted")).where(F.col("n_trusted") >= LEAST_TRUSTED).select("l", "median")
+    medians, all_median = _sent(medians), F.lit(trusted.agg(middle).first()[0]).cast("double")
+    edge = F.percentile_approx(mixed, QUANTILE, 10_000)
+    per_lang = _sent(trusted.join(medians, "l").groupBy("l", "median").agg(edge.alias("edge")))
+    of_all = F.lit(trusted.withColumn("median", all_median).agg(edge).first()[0]).cast("double")
+    table = scored.join(per_lang, "l", "left").withColumn("median", F.coalesce("median", all_median))
+    table = table.withColumn("log_ppl", F.when(F.col("n_bytes") > 0, F.coalesce(mixed, mean)))
+    keep = F.col("log_ppl").isNotNull() & F.coalesce(F.col("log_ppl") <= F.col("threshold"), F.lit(True))
+    return table.select("row", "n_bytes", "log_ppl", F.coalesce("edge", of_all).alias("threshold")).withColumn("keep", keep)
+
+
+def _sent(languages: DataFrame) -> DataFrame:
+    """A table with a row for each language, sent to all tasks where it is as small as it usually is."""
+    languages = saved(languages)
+    return F.broadcast(languages) if languages.count() <= MOST_LANGUAGES else languages
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,9 +352,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that judge() keeps, with all of their columns."""
-    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
-    judged = judge(docs.select(id_col, text_col, lang_col, digest.alias("digest")), labels, id_col, text_col, lang_col)
-    kept = judged.where("keep").select(F.col(f"row.`{id_col}`").alias("__id"), F.col("row.digest").alias("__digest"), F.col(f"row.`{lang_col}`").alias("__lang")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (digest == F.col("__digest")) & docs[lang_col].eqNullSafe(F.col("__lang"))
-    return docs.join(kept, same, "left_semi")
+    """The documents that judge() keeps, with all of their columns, of any names."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.col(f"`{lang_col}`").alias("lang"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), key["digest"].alias("digest"))
+    kept = judge(plain, labels, "id", "text", "lang").where("keep").select("row.id", "row.digest", "row.lang").distinct()
+    same = rows["key.id"].eqNullSafe(kept["id"]) & (rows["key.digest"] == kept["digest"]) & rows["key.lang"].eqNullSafe(kept["lang"])
+    return rows.join(kept, same, "left_semi").select("row.*")
