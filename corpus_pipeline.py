@@ -1,41 +1,40 @@
 """The corpus pipeline: quality, near-duplicates, benchmark contamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents, and whatever else
+docs has, of any name. Empty tables give empty tables; texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from proseline.llm import decontamination, packing, pii, quality, simhash
-from proseline.llm.common import use_shared_dir
+from proseline.llm.common import remove_folder, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's threshold."""
+    """Documents whose perplexity is within their language's threshold. Null and empty texts go; repeated rows are judged alike."""
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates."""
+    """The document with the least id of each group of near-duplicates. Null ids come last; null, empty and blank texts are one group; of repeated rows one stays."""
     return simhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
+    """Documents without a run of ten words of the benchmark. Null and empty texts stay; repeated rows are searched alike."""
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked."""
+    """All documents, with personal data masked. Null and empty texts, and repeated rows, stay."""
     return pii.mask_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every piece of every document goes in which sequence."""
+    """Where every piece of every document goes in which sequence, with its token ids. Null and empty texts are one end id; repeated rows are packed each for itself."""
     return packing.pack_texts(docs)
 
 
@@ -54,8 +53,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what lies between them is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{use_shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # its sequences are written: it needs the stages' folders no more
+    remove_folder(folder)
+    return out

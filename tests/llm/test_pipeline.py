@@ -1,5 +1,8 @@
 import corpus_pipeline
-from proseline.llm import decontamination, pii, quality, simhash
+from proseline.llm import decontamination, pii, quality
+from tests.llm.tables import awkward
+from tests.llm.tables import docs as table_of
+from tests.llm.test_similarity import kept_by_brute_force
 
 
 def test_stages_equal_brute_force_on_the_small_table(spark, sf):
@@ -17,14 +20,7 @@ def test_stages_equal_brute_force_on_the_small_table(spark, sf):
             bad = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0").collect()}
             assert len(after.keys() & bad) <= 0.5 * len(bad)
         elif name == "near_duplicates":
-            fps = {i: simhash.fingerprint(r.text.encode(), 5) for i, r in before.items()}
-            for i in before:
-                near = {j for j in before if (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS}
-                assert near & after.keys() or len(near) > 1
-                assert i in after or min(near) < i or len(near) > 1
-                if len(near) == 1:
-                    assert i in after
-            assert len({fps[i] for i in after}) == len(after)
+            assert after.keys() == kept_by_brute_force([(i, r.text) for i, r in before.items()])
         elif name == "decontamination":
             bench = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             windows = {tuple(w[k : k + 10]) for _, t in bench for w in [decontamination.word_list(t.encode())] for k in range(max(1, len(w) - 9)) if w}
@@ -37,7 +33,7 @@ def test_stages_equal_brute_force_on_the_small_table(spark, sf):
         else:
             assert after.keys() == before.keys()
             assert not any(pii.base_spans(r.text) for r in after.values())
-            assert all(after[i].text == before[i].text for i in after if not any(c in before[i].text for c in "0123456789@"))
+            assert all(after[i].text == before[i].text for i in after if not any(c in before[i].text for c in "0123456789@_"))
             assert all(r.n_chars == len(r.text) for r in after.values())
         docs, before = spark.createDataFrame(out.collect(), out.schema), after
 
@@ -47,3 +43,23 @@ def test_run_packs_what_is_left(spark, sf):
     rows = out.collect()
     assert rows and {"doc_id", "bin_id", "bin_capacity"} <= set(out.columns)
     assert len({r.doc_id for r in rows}) < spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_stages_take_awkward_and_empty_tables(spark, sf):
+    odd = ["__id", "__digest", "__lang", "row", "hits", "digest"]
+    rows = awkward()
+    for some in (rows, []):
+        given = table_of(spark, some).selectExpr("*", *(f"{k} as {c}" for k, c in enumerate(odd)))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, sf)
+            got = out.collect()
+            if name == "packing":
+                assert len({r.doc_id for r in got}) == len({i for i, _ in some})
+                continue
+            assert out.columns == given.columns, name
+            assert all([r[c] for c in odd] == list(range(len(odd))) for r in got)
+            if name in ("decontamination", "personal_data"):
+                assert len(got) == len(some)
+            if name == "near_duplicates":
+                ids = [r.doc_id for r in got]
+                assert ids.count(None) <= 1 and len(ids) == len(set(ids)) and (not some or 4 in ids and not {5, 6} & set(ids))

@@ -113,8 +113,8 @@ def kneser_ney(texts):
 def test_perplexity_equals_the_textbook(spark):
     good = [prose(i, 12) for i in range(8)]
     seen = good + ["", None, "QQ é zz", good[0], "thonx"]
-    model, lower = quality.train(docs(spark, list(enumerate(good))).select("text"))
-    out = {r.row.doc_id: r for r in quality.perplexities(docs(spark, list(enumerate(seen))).selectExpr("*", "1 as surprise"), model, lower).collect()}
+    model = quality.train(docs(spark, list(enumerate(good))).select("text"))
+    out = {r.row.doc_id: r for r in quality.perplexities(docs(spark, list(enumerate(seen))).selectExpr("*", "1 as surprise"), model).collect()}
     p = kneser_ney([t.encode() for t in good])
     for i, t in enumerate(seen):
         b = bytes(quality.ORDER - 1) + (t or "").encode()
@@ -131,7 +131,8 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert len(out) == len(rows)
     assert not any(1000 <= (i or 0) for i in kept)
     assert sum(i is not None and i < 300 for i in kept) >= 295
-    assert quality.good_documents(docs(spark, rows).selectExpr("*", "1 as keep"), labels).count() == len(kept)
+    odd = quality.good_documents(docs(spark, rows).selectExpr("*", "1 as keep", "2 as __id", "3 as __digest", "4 as __lang", "5 as key"), labels)
+    assert odd.count() == len(kept) and odd.columns[-5:] == ["keep", "__id", "__digest", "__lang", "key"]
     everything = quality.judge(docs(spark, rows), labels.limit(0)).collect()
     assert all(r.keep == bool(r.n_bytes) for r in everything)
     assert quality.judge(docs(spark, []), labels).count() == 0

@@ -149,10 +149,24 @@ def test_a_benchmark_of_several_blocks_gives_the_same(spark, monkeypatch):
     table = docs(spark, [(i, f"a {prose_words(i, 15)} b {prose_words(i + 1, 11)}") for i in range(40)])
     one = decontamination.find_overlap(table, bench).select("row.doc_id", "hits", "items").collect()
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(decontamination, "HELD", 2000)
+    long = spark.createDataFrame([(i, " ".join(prose_words(j, 15) for j in range(i, i + 10))) for i in range(0, 30, 10)], "item_id long, text string")
+    whole = decontamination.find_overlap(table, long).select("hits", "items").collect()
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 1 << 20)
+    assert sorted(map(str, whole)) == sorted(map(str, decontamination.find_overlap(table, long).select("hits", "items").collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 300)
     many = decontamination.find_overlap(table, bench).select("row.doc_id", "hits", "items").collect()
     assert sorted(map(str, one)) == sorted(map(str, many))
 
 
+def test_short_items_alone_remove_no_document(spark):
+    bench = spark.createDataFrame([(1, "one"), (2, "two three"), (3, prose_words(3, 12))], "item_id long, text string")
+    table = docs(spark, [(1, "one day"), (2, "a two three b"), (3, f"x {prose_words(3, 10)}"), (4, None), (5, f"{prose_words(3, 9)} y")]).selectExpr("*", "1 as hits", "2 as row")
+    kept = decontamination.clean_documents(table, bench)
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5]
+    assert sorted(r.doc_id for r in decontamination.clean_documents(table, bench, least=1).collect()) == [4, 5]
+
+
 def prose_words(seed, n):
     import random
 
