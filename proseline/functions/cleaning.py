@@ -15,7 +15,8 @@ from proseline.functions.patterns import Newlines
 
 def apply_steps(column: Column, steps: Iterable[tuple[str, str]]) -> Column:
     for pattern, replacement in steps:
-        column = F.regexp_replace(column, F.lit(pattern), F.lit(replacement))
+        # As a pattern, a trim reads each run of white space once for every character in it.
+        column = trim(column) if pattern == P.TRIM else F.regexp_replace(column, F.lit(pattern), F.lit(replacement))
     return column
 
 
@@ -59,12 +60,12 @@ class TextCleaner:
 
 @cache
 def _compiled(steps: tuple[tuple[str, str], ...]) -> list:
-    return [(P.python_pattern(p), r) for p, r in steps]
+    return [(None if p == P.TRIM else P.python_pattern(p), r) for p, r in steps]
 
 
 def run_steps(text: str, steps: tuple[tuple[str, str], ...]) -> str:
     for pattern, replacement in _compiled(steps):
-        text = pattern.sub(lambda _, r=replacement: r, text)
+        text = text.strip(P.WHITE_SPACE_CHARS) if pattern is None else pattern.sub(replacement, text)
     return text
 
 
@@ -83,8 +84,8 @@ def reduce_to_single_whitespace(column: Column) -> Column:
 
 def trim(column: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(column, F.lit(P.TRIM), F.lit(""))
+    return F.btrim(column, F.lit(P.WHITE_SPACE_CHARS))
 
 
 def trim_start(column: Column) -> Column:
-    return F.regexp_replace(column, F.lit(P.LEADING_SPACE), F.lit(""))
+    return F.ltrim(column, F.lit(P.WHITE_SPACE_CHARS))

@@ -22,7 +22,6 @@ from proseline.operators.sentences import raw_sentences
 ALNUM = r"[\p{L}\p{N}]"
 _JAVA_HAN = r"\p{IsHan}\p{IsHiragana}"
 WORD = segments.WORD.replace(r"\p{Han}\p{Hiragana}", _JAVA_HAN)
-LAST_TOKEN = rf"(?s)([^{WS}]*{ALNUM}[^\p{{L}}\p{{N}}]*)\z"
 
 
 def _ends_trimmed(pieces: Column) -> Column:
@@ -45,18 +44,25 @@ def _from_last_word(token: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    def cut(x: Column) -> Column:
-        return F.struct(x["last"].alias("last"), F.substring(x["text"], F.lit(1), F.char_length(x["text"]) - F.char_length(x["last"])).alias("head"))
+    """The text is cut at its white space once; the last token with a letter or number goes on to the end of the text."""
+
+    def marked(x: Column) -> Column:
+        tokens = F.filter(F.transform(x["parts"], lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda p: p["t"].rlike(ALNUM))
+        return F.struct(x["text"].alias("text"), x["parts"].alias("parts"), tokens.alias("tokens"))
 
     def join(x: Column) -> Column:
-        tokens = F.filter(F.regexp_extract_all(x["head"], F.lit(f"([^{WS}]+)"), F.lit(1)), lambda t: t.rlike(ALNUM))
-        opens = x["head"].rlike(rf"^[^{WS}]*{ALNUM}")  # the first token has nothing before it
-        tokens = F.transform(tokens, lambda t, i: F.when((i == 0) & opens, _from_last_word(t)).otherwise(t))
-        last = F.when(x["head"] == "", _from_last_word(x["last"])).otherwise(x["last"])
-        return F.when(x["last"] == "", F.array().cast("array<string>")).otherwise(F.concat(tokens, F.array(last)))
+        tokens, n = x["tokens"], F.size(x["tokens"])
+        last = F.element_at(tokens, -1)["i"]
+        # The parts from the last token on, and the white space between them.
+        size = F.aggregate(F.slice(x["parts"], last + 1, F.size(x["parts"]) - last), F.lit(-1), lambda n, p: n + F.char_length(p) + 1)
+        tail = F.substring(x["text"], F.char_length(x["text"]) - size + 1, size)
+        # The first token of a text has nothing before it.
+        token = lambda t, i: F.when((t["i"] == 0) & (i == 0), _from_last_word(t["t"])).otherwise(t["t"])
+        whole = F.concat(F.transform(F.slice(tokens, 1, n - 1), token), F.array(F.when(last == 0, _from_last_word(tail)).otherwise(tail)))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(whole)
 
-    parts = let(text, lambda t: F.struct(t.alias("text"), F.regexp_extract(t, LAST_TOKEN, 1).alias("last")))
-    return F.when(text.isNotNull(), let(let(parts, cut), join))
+    parts = let(text, lambda t: F.struct(t.alias("text"), F.split(t, f"[{WS}]", -1).alias("parts")))
+    return F.when(text.isNotNull(), let(let(parts, marked), join))
 
 
 def pieces(text: Column, separator: Separator) -> Column:
@@ -175,6 +181,27 @@ def split_indices(text: Column, separator: Separator) -> Column:
     return run(text)
 
 
+def split_part(text: Column, start: Column, end: Column, separator: Separator) -> Column:
+    """The pieces of a part of a text, from byte start to byte end, as (start, end) in bytes of the whole text.
+
+    The part is split as if it were a text; null if an argument is null, or an end is inside a character or beyond the text.
+    """
+    name = Separator(separator).value
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def one(t: str | None, a: int | None, b: int | None) -> list[dict] | None:
+        data = None if t is None else t.encode()
+        if data is None or a is None or b is None or not 0 <= a <= b <= len(data) or any(x < len(data) and data[x] & 0xC0 == 0x80 for x in (a, b)):
+            return None
+        return [{"start": a + x, "end": a + y} for x, y in segments.byte_ranges(data[a:b].decode(), Separator(name))]
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def run(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array([one(*x) for x in zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True)], kind)
+
+    return run(text, start.cast("int"), end.cast("int"))
+
+
 def splits_to_text(texts: Column, separator: Separator, with_separator: bool = False) -> Column:
     """The pieces joined again: by blanks, by nothing for graphemes, or each paragraph or line with its newlines."""
     separator = Separator(separator)

@@ -6,6 +6,7 @@ odd blanks, citations, links) with expressions that the oracle repeats.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +20,8 @@ from proseline.functions.patterns import ORDER, Newlines, Separator
 from proseline.functions.tokens import TokenCounter
 from proseline.functions.urls import extract_urls
 from proseline.operators.chunking import TextChunker, chunk_rows
-from proseline.operators.sentences import split_text_into_sentences
-from proseline.operators.splitting import TextSplitter, clean_for, pieces, split_again, split_indices, split_rows, splits_to_text
+from proseline.operators.sentences import HIDE, SENTENCE, SHOW, SHOW_TEXT, split_text_into_sentences
+from proseline.operators.splitting import TextSplitter, clean_for, pieces, split_again, split_indices, split_part, split_rows, splits_to_text
 from proseline.sources.balance import spread
 from proseline.plans.statistics import balance, chunk_statistics
 
@@ -149,7 +150,46 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return split_rows(_table(spark, sf, "documents"), "text", TextSplitter(recursive=False).on_single_newline(), ["doc_id"]).drop("separator")
 
 
-@query("p3_split_sentences_rule")
+def _hidden_sql(text: str) -> str:
+    """The substitutions that hide periods. Periods between single letters are found pair by pair, as the patterns here know no look-around."""
+    for pattern, replacement in HIDE:
+        if "(?<=" in pattern:
+            text = f"regexp_replace({text}, '([A-Za-z])\\.([A-Za-z])\\.', '\\1&-&\\2&-&', 'g')"
+            for _ in range(12):
+                text = f"regexp_replace({text}, '([A-Za-z]&-&[A-Za-z])\\.', '\\1&-&', 'g')"
+            continue
+        to = re.sub(r"\$(\d)", r"\\\1", replacement)
+        text = f"regexp_replace({text}, {_sql_text(pattern)}, {_sql_text(to)}, 'g')"
+    return text
+
+
+def _shown_sql(text: str) -> str:
+    for marker, shown in SHOW_TEXT:
+        text = f"replace({text}, {_sql_text(marker)}, {_sql_text(shown)})"
+    for pattern, replacement in SHOW:
+        to = re.sub(r"\$(\d)", r"\\\1", replacement)
+        text = f"regexp_replace({text}, {_sql_text(pattern)}, {_sql_text(to)}, 'g')"
+    return text
+
+
+def _sentences_sql(source: str, key: str) -> str:
+    """CTEs up to t(key, t, parts): the rules' sentences of the column t of ``source``."""
+    return f"""h AS (SELECT *, regexp_extract_all({_hidden_sql("t")}, {_sql_text(SENTENCE)}) AS raw FROM {source}),
+f AS (SELECT *, [x FOR x, i IN raw IF NOT coalesce(raw[i + 1][1:1] IN ('.', '?', '!'), false)] AS kept FROM h),
+s AS (SELECT * EXCLUDE (raw, kept), list_transform(kept, lambda x: {_shown_sql("x")}) AS parts FROM f)"""
+
+
+_RULE_SQL = f"""
+WITH c AS (SELECT doc_id, {_CLEAN_SPACE} AS t FROM documents), {_sentences_sql("c", "doc_id")},
+n AS (SELECT doc_id, t, parts, list_sum(list_transform(parts, lambda x: strlen(x))) AS total FROM s),
+b AS (SELECT doc_id, t, parts, list_transform(range(1, len(parts) + 1), lambda i: coalesce(list_sum(list_transform(parts[1 : i - 1], lambda x: strlen(x))), 0)) AS starts FROM n WHERE total = strlen(t)),
+r AS (SELECT doc_id, CASE WHEN array_to_string(parts, '') = t THEN parts ELSE list_transform(range(1, len(parts) + 1), lambda i: decode(unhex(substr(hex(encode(t)), (2 * starts[i] + 1)::INTEGER, (2 * strlen(parts[i]))::INTEGER)))) END AS cut FROM b),
+u AS (SELECT doc_id, list_filter(list_transform(cut, lambda x, i: CASE WHEN i = len(cut) THEN regexp_replace(x, '{P.LEADING_SPACE}', '') ELSE {_TRIMMED} END), lambda x: x <> '') AS parts FROM r)
+SELECT doc_id, unnest(range(0, len(parts)))::INTEGER AS split_idx, unnest(parts) AS text, length(unnest(parts))::INTEGER AS char_count FROM u WHERE len(parts) > 1
+"""
+
+
+@query("p3_split_sentences_rule", _RULE_SQL)
 def _rule(spark: SparkSession, sf: str) -> DataFrame:
     return split_rows(_table(spark, sf, "documents"), "text", TextSplitter(recursive=False).on_sentences_rule_based(), ["doc_id"]).drop("separator")
 
@@ -225,7 +265,14 @@ def _catalogue(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "separator string, ordinal int, group_name string, next_separator string, in_chunking boolean")
 
 
-@query("p19_sentences_as_strings")
+_STRINGS_SQL = f"""
+WITH c AS (SELECT doc_id, {_CLEAN_SPACE} AS t FROM documents), {_sentences_sql("c", "doc_id")},
+u AS (SELECT doc_id, list_transform(parts, lambda x: {_TRIMMED}) AS parts FROM s)
+SELECT doc_id, unnest(range(0, len(parts)))::INTEGER AS sentence_idx, unnest(parts) AS text FROM u
+"""
+
+
+@query("p19_sentences_as_strings", _STRINGS_SQL)
 def _sentence_strings(spark: SparkSession, sf: str) -> DataFrame:
     out = split_text_into_sentences(clean_for(F.col("text"), Separator.SENTENCES_RULE), keep_separator=False)
     return _table(spark, sf, "documents").select("doc_id", F.posexplode_outer(out).alias("sentence_idx", "text")).where("sentence_idx is not null")
@@ -244,6 +291,25 @@ def _offsets(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").select("doc_id", F.posexplode_outer(found).alias("split_idx", "r")).where("split_idx is not null").select("doc_id", "split_idx", "r.start", "r.end")
 
 
+@query(
+    "p12_split_part",
+    f"""
+WITH d AS (SELECT doc_id, {_CLEAN_LINES} AS t FROM documents), h AS (SELECT doc_id, hex(encode(t)) AS b, strlen(t) AS n FROM d WHERE regexp_full_match(t, '[\\x00-\\x7F]*')),
+s AS (SELECT doc_id, n // 4 AS o, string_split(decode(unhex(substr(b, (2 * (n // 4) + 1)::INTEGER, (2 * (n // 2))::INTEGER))), chr(10)) AS parts FROM h),
+u AS (SELECT doc_id, o, parts, unnest(range(1, len(parts) + 1)) AS i FROM s),
+p AS (SELECT doc_id, i, parts[i] AS x, o + coalesce(list_sum(list_transform(parts[1 : i - 1], lambda y: strlen(y) + 1)), 0) AS a, i = len(parts) AS fin FROM u),
+r AS (SELECT doc_id, i, a + strlen(x) - strlen(regexp_replace(x, '{P.LEADING_SPACE}', '')) AS "start", CASE WHEN fin THEN a + strlen(x) ELSE a + strlen(regexp_replace(x, '{P.TRAILING_SPACE}', '')) END AS "end" FROM p)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS split_idx, "start"::INTEGER AS "start", "end"::INTEGER AS "end" FROM r WHERE "start" < "end"
+""",
+)
+def _part(spark: SparkSession, sf: str) -> DataFrame:
+    """The middle half of each ASCII text, split into lines that are placed in the whole text."""
+    docs = _table(spark, sf, "documents").select("doc_id", clean_for(F.col("text"), Separator.LINES).alias("t")).where(F.char_length("t") == F.octet_length("t"))
+    n = F.octet_length("t")
+    found = split_part(F.col("t"), F.floor(n / 4).cast("int"), F.floor(n / 4).cast("int") + F.floor(n / 2).cast("int"), Separator.LINES)
+    return docs.select("doc_id", F.posexplode_outer(found).alias("split_idx", "r")).where("split_idx is not null").select("doc_id", "split_idx", "r.start", "r.end")
+
+
 @query("t1_token_count_whitespace", f"SELECT doc_id, len(regexp_extract_all(text, '[^{P.WHITE_SPACE_CLASS}]+'))::INTEGER AS n_tokens FROM documents")
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").select("doc_id", TokenCounter().count(F.col("text")).alias("n_tokens"))
@@ -267,23 +333,59 @@ query("x6_chunk_linear")(lambda spark, sf: _chunks(spark, sf, TextChunker(128, u
 query("x7_chunk_overlap")(lambda spark, sf: _chunks(spark, sf, CHUNKER.with_overlap(0.166666)).drop("lang"))
 
 
+def _tokens_sql(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '[^{P.WHITE_SPACE_CLASS}]+'))"
+
+
+def _letters(text: Column) -> Column:
+    return F.char_length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
+
+
 def _invariants(chunker: TextChunker) -> Query:
-    """Per document: chunks over the limit, gaps in the numbering, and counts that are not the text's own."""
+    """Per document: its rows by kind, chunks over the limit, gaps in the numbering, and counts that are not the text's own;
+    and whether the chunks have all of its letters and numbers but for a word or two at the start, which splitting on words may lose."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        by_doc = _chunks(spark, sf, chunker).groupBy("doc_id").agg(
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        chunks = chunk_rows(docs.withColumn("letters", _letters(F.col("text"))), "text", chunker, ["doc_id", "letters"])
+        lost = F.max("letters") - F.coalesce(F.sum(_letters(F.col("text"))), F.lit(0))
+        by_doc = chunks.groupBy("doc_id").agg(
             F.sum((F.col("token_count") > chunker.max_tokens).cast("int")).alias("over_limit"),
             (F.max("chunk_idx") + 1 - F.count("*")).alias("gaps"),
             F.sum((F.col("token_count") != TokenCounter().count(F.col("text"))).cast("int")).alias("miscounted"),
+            F.coalesce(lost <= 80, F.lit(False)).alias("whole"),
+            F.count("chunk_idx").alias("n"),
+            F.max("separator").alias("separator"),
         )
-        return _table(spark, sf, "documents").select("doc_id").join(by_doc, "doc_id", "left").select("doc_id", *(F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in ("over_limit", "gaps", "miscounted")))
+        kind = F.when(F.col("n") == 0, "none").when((F.col("n") == 1) & F.col("separator").isNull(), "one").otherwise("several")
+        return by_doc.select("doc_id", *(F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in ("over_limit", "gaps", "miscounted")), (F.col("whole") | (kind == "none")).alias("whole"), (kind == "one").alias("is_one"))
 
     return run
 
 
-_NONE = "SELECT doc_id, 0 AS over_limit, 0 AS gaps, 0 AS miscounted FROM documents"
-query("x3_chunk_invariants", _NONE)(_invariants(CHUNKER))
-query("x7_overlap_invariants", _NONE)(_invariants(CHUNKER.with_overlap(0.166666)))
+_KEPT = f"SELECT doc_id, 0 AS over_limit, 0 AS gaps, 0 AS miscounted, true AS whole, coalesce({_tokens_sql(_CLEAN_SPACE)} <= {CHUNKER.max_tokens}, false) AS is_one FROM documents"
+query("x3_chunk_invariants", _KEPT)(_invariants(CHUNKER))
+query("x7_overlap_invariants", _KEPT)(_invariants(CHUNKER.with_overlap(0.166666)))
+
+
+@query(
+    "x3_unsplit_documents",
+    f"SELECT doc_id, 0 AS chunk_idx, text, t AS token_count, length(text)::INTEGER AS char_count FROM (SELECT *, {_tokens_sql('text')}::INTEGER AS t FROM documents) WHERE {_tokens_sql(_CLEAN_SPACE)} <= {CHUNKER.max_tokens}",
+)
+def _unsplit(spark: SparkSession, sf: str) -> DataFrame:
+    return _chunks(spark, sf).where("separator is null and chunk_idx is not null").select("doc_id", "chunk_idx", "text", "token_count", "char_count")
+
+
+def _found(chunker: TextChunker) -> Query:
+    """How many documents have rows, and whether nearly all have chunks."""
+    return lambda spark, sf: _chunks(spark, sf, chunker).groupBy("doc_id").agg(F.count("chunk_idx").alias("n")).agg(F.count("*").alias("documents"), (F.sum((F.col("n") > 0).cast("int")) >= 0.97 * F.count("*")).alias("nearly_all"))
+
+
+_ALL = "SELECT count(DISTINCT doc_id) AS documents, true AS nearly_all FROM documents"
+query("x3_documents_found", _ALL)(_found(CHUNKER))
+query("x3_documents_found_bpe", _ALL)(_found(TextChunker(256)))
+query("x7_documents_found", _ALL)(_found(CHUNKER.with_overlap(0.166666)))
+query("x6_documents_found", _ALL)(_found(TextChunker(128, use_whole_pieces=False, counter=TokenCounter())))
 
 _NATIVE = f"SELECT lang, length(p)::BIGINT AS c, len(regexp_extract_all(p, '[^{P.WHITE_SPACE_CLASS}]+'))::BIGINT AS t FROM (SELECT lang, unnest({_LINES_SQL}) AS p FROM documents)"
 

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def chunk_statistics(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, averages (whole numbers), largest and smallest sizes in tokens and characters, by keys."""
+    """Counts, averages (whole numbers), largest and smallest sizes in tokens and characters, by keys.
+
+    Rows without a count, as texts that cannot be chunked have, are no chunks.
+    """
+    chunks = chunks.where("token_count is not null")
     out = [F.count("*").alias("chunk_count")]
     for unit in ("token", "char"):
         n = F.col(f"{unit}_count").cast("long")
@@ -17,7 +21,7 @@ def chunk_statistics(chunks: DataFrame, keys: list[str]) -> DataFrame:
 
 def chunk_sizes(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Each text's chunk sizes in order, besides its statistics. For keys of one text: the lists grow with its chunks."""
-    sized = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "token_count", "char_count"))).alias("s"), F.first("separator").alias("initial_separator"))
+    sized = chunks.where("token_count is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "token_count", "char_count"))).alias("s"), F.first("separator").alias("initial_separator"))
     lists = sized.select(*keys, "initial_separator", F.transform("s", lambda x: x["token_count"]).alias("chunk_token_sizes"), F.transform("s", lambda x: x["char_count"]).alias("chunk_char_sizes"))
     return chunk_statistics(chunks, keys).join(lists, keys)
 

@@ -204,7 +204,8 @@ def test_chunks_keep_the_limit_and_all_words(words, limit, overlap):
 def test_chunk_rows_statistics_and_sql(spark):
     df = spark.createDataFrame([(1, LINES), (2, "short"), (3, None), (4, "")], "id int, t string")
     rows = chunk_rows(df, "t", TextChunker(30, counter=WS), ["id"])
-    assert sorted({r.id for r in rows.collect()}) == [1, 2, 4]
+    assert sorted({r.id for r in rows.collect()}) == [1, 2, 3, 4]
+    assert [tuple(r) for r in rows.where("id = 3").collect()] == [(3, None, None, None, None, None)]
     one = chunk_statistics(rows, ["id"]).where("id = 1").first()
     assert (one.chunk_count, one.all_chunks_token_count, one.largest_token_size) == (4, 100, 25)
     assert balance(rows, ["id"]).where("id = 1").first().avg_token_size == 25
@@ -242,3 +243,21 @@ def test_stream(spark, tmp_path):
     rows = streaming.chunk_stream(streaming.read_text_stream(spark, str(tmp_path / "in")), "text", TextChunker(30, counter=WS), ["name"], TextCleaner(Newlines.KEEP))
     streaming.write_parquet_stream(rows, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_a_part_is_split_in_place(spark):
+    df = spark.createDataFrame([("é one\n two \nthree", 3, 15), ("é", 1, 2), ("ab", 0, 9), (None, 0, 1), ("a\nb", 0, 3)], "t string, a int, b int")
+    out = [r.x for r in df.select(splitting.split_part(F.col("t"), F.col("a"), F.col("b"), Separator.LINES).alias("x")).collect()]
+    assert [x and [tuple(r) for r in x] for x in out] == [[(3, 6), (8, 11), (13, 15)], None, None, None, [(0, 1), (2, 3)]]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    texts = ["x" * 1_000_000, "a" + "\n" * 1_000_000 + "b", "é" * 300_000 + "... " * 100_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3).cache()
+    df.count()
+    for make in (lambda c: F.size(splitting.pieces(c, Separator.WORDS)), lambda c: F.char_length(TextCleaner(Newlines.KEEP).run(c)), lambda c: F.size(splitting.pieces(c, Separator.LINES))):
+        began = time.time()
+        df.select(make(F.col("t")).alias("x")).collect()
+        assert time.time() - began < 20
