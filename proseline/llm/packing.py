@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import remove_folder, saved, shuffle_partitions
+from proseline.llm.common import saved, shuffle_partitions
 from proseline.llm.tokens import TokenFiles, mapped, write_tokens
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -207,17 +207,15 @@ def pack_tokens(files: TokenFiles, spark: SparkSession, capacities: Sequence[int
 def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts encoded as op7 writes them and packed by pack_tokens(): a row for each piece of a document, with its ids.
 
-    A sequence is its bin's pieces in order of slot. Null and empty texts are one end id; null ids come
+    A sequence is its bin's pieces in order of slot. The token files are read when the rows are, and go when the driver ends.
+    Null and empty texts are one end id; null ids come
     first; repeated rows are packed each for itself; texts of any length are encoded whole and cut; an empty
     table gives no rows; other columns, of any name, take no part.
     """
     import public_tokenizers
 
-    spark = docs.sparkSession
     files = write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), id_col=id_col, text_col=text_col)
-    sequences = saved(pack_tokens(files, spark))
-    remove_folder(files.folder)
-    pieces = sequences.select("bin_id", "bin_capacity", "bin_fill", "ids", F.explode_outer("pieces").alias("p"))
+    pieces = pack_tokens(files, docs.sparkSession).select("bin_id", "bin_capacity", "bin_fill", "ids", F.explode_outer("pieces").alias("p"))
     ids = F.slice("ids", (F.col("p.bin_start") + 1).cast("int"), F.col("p.length").cast("int"))
     return pieces.select(F.col("p.doc_id").alias(id_col), "p.piece", "p.start", "p.length", "bin_id", "p.slot", "p.bin_start", "bin_fill", "bin_capacity", ids.alias("ids"))
 
