@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations, product
@@ -125,7 +126,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and those
     without a label, link with nothing. Vectors of different length do not link. Null ids take
-    part and name a component only where all of its ids are null; repeated rows are each counted.
+    part and name a component only where all of its ids are null; repeated rows are each counted. An empty
+    table gives no rows; other columns, of any name, take no part.
 
     Returns id_col, n_links (other vectors linked), component_id (least id reachable, itself included), kept.
     """
@@ -249,11 +251,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
 
 def label_numbers(labels: pa.Array) -> np.ndarray:
-    """A number for each label, of whatever type."""
+    """A number for each label, of whatever type: 64 bits, as two labels of one number would be compared."""
     values = labels.to_pylist()
-    import zlib
-
-    known = {x: zlib.crc32(repr(x).encode()) for x in set(values)}
+    known = {x: int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=8).digest(), "little") for x in set(values)}
     return np.array([known[x] for x in values], np.uint64)
 
 
