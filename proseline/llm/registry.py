@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_array_dedup": repeats.ORACLE_OP1,
+        "op3_sharding": sharding.ORACLE_OP3,
         "op4_chat_formatting": chat.ORACLE_OP4,
         "op5_decontamination": decontamination.ORACLE_OP5,
         "op10_embedding_near_dedup": embeddings.ORACLE_OP10,

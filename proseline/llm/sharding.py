@@ -17,19 +17,19 @@ def balanced_shards(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
 
     A row's size is the UTF-8 bytes of its text (null: none) plus 1. Rows are range partitioned
     on (id, checksum, size, row number), so that rows that repeat one id, or one whole row, can
-    still be split; only ids, sizes and checksums are moved. Each partition's totals give the
+    still be split; only ids, sizes and checksums are moved, and texts of any length are read where they are. Each partition's totals give the
     global prefix sums, and a row whose middle byte lies in the k-th of n equal parts of all
     bytes belongs to shard k: every cut is off its target by at most half a row.
 
     The driver sees one total per partition and one row number per shard. Null ids come first;
-    repeated rows each get their own slot; an empty table gives an empty result.
+    repeated rows each get their own slot; an empty table gives an empty result. Columns may have any name.
 
     Returns id_col, size, text_crc32, law, shard, slot, grown_shard and start (bytes before the row).
     """
     spark = df.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = df.select(
-        F.col(id_col).cast("long").alias("id"),
+        F.col(f"`{id_col}`").cast("long").alias("id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
         F.monotonically_increasing_id().alias("tie"),
@@ -79,3 +79,22 @@ def balanced_shards(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 8)
+
+
+def _crc_of_byte(x: int) -> int:
+    for _ in range(8):
+        x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+    return x
+
+
+_STEP = f"xor(c >> 8, [{', '.join(str(_crc_of_byte(x)) for x in range(256))}][xor(c & 255, x) + 1])"
+
+ORACLE_OP3 = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, octet_length(b) + 1 AS size, hex(b) AS h FROM d),
+x AS (SELECT doc_id, size, list_transform(range(0, size - 1), lambda i: (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1) AS bytes FROM h),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: {_STEP}), 4294967295::BIGINT) AS crc FROM x),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, crc, size ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, least(7, (2 * start + size) * 8 // (2 * total))::INTEGER AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start) - 1 AS slot, NULL::INTEGER AS grown_shard, start::BIGINT AS start FROM s
+"""
