@@ -17,6 +17,8 @@ from proseline.llm.common import batch_rows, compressed, open_folder, pack_batch
 ORDER = 5
 #: Text of a batch; n-grams of a shard of the model, by mean; text whose requests one task answers for one shard, if there were one.
 BATCH_BYTES, SHARD_GRAMS, ANSWERED = 8 << 20, 1 << 16, 256 << 20
+#: Bytes of a batch whose n-grams are widened at once, so that a batch takes about 16 times its text in memory.
+BLOCK = 1 << 18
 #: The quantile of trusted documents' log perplexities that is a language's threshold, and how many
 #: trusted documents a language needs for a threshold of its own.
 QUANTILE, LEAST_TRUSTED = 0.99, 20
@@ -37,11 +39,11 @@ _MASKS = [np.uint64((1 << 8 * k) - 1) for k in range(ORDER + 1)]
 
 def grams(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For every byte the number of the n-gram that ends with it; zero bytes stand before a text."""
-    codes = body.astype(np.uint64)
-    out = codes.copy()
+    out = body.astype(np.uint64)
     sizes = np.diff(offsets)
     for k in range(1, ORDER):
-        out[k:] |= codes[:-k] << np.uint64(8 * k)
+        for a in range(k, len(body), BLOCK):
+            out[a : a + BLOCK] |= body[a - k : min(a + BLOCK, len(body)) - k].astype(np.uint64) << np.uint64(8 * k)
     for k in range(min(ORDER - 1, int(sizes.max(initial=0)))):  # the first bytes of each text see no other text
         at = offsets[:-1][sizes > k] + k
         out[at] &= _MASKS[k + 1]
@@ -283,17 +285,25 @@ def perplexities(df: DataFrame, model: Model, text_col: str = "text") -> DataFra
         body, offsets = utf8(rows.column(1))
         sizes = np.diff(offsets)
         bits = max(1, int(len(rows)).bit_length())
-        both = (grams(body, offsets) << np.uint64(bits)) | np.repeat(np.arange(len(rows), dtype=np.uint64), sizes)
+        both = grams(body, offsets)
+        both <<= np.uint64(bits)
+        both |= np.repeat(np.arange(len(rows), dtype=np.uint64), sizes)
         both.sort()
-        codes, text = both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
-        head = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
-        distinct = codes[head]
+        codes = both >> np.uint64(bits)
+        new = np.ones(len(codes), bool)
+        np.not_equal(codes[1:], codes[:-1], out=new[1:])
+        distinct = codes[new]
+        del codes
         steps = np.zeros(len(distinct), np.float64)
         said = dict(zip(got.column("shard").to_pylist(), got.column("said").to_pylist(), strict=True))
         for s, at in _by_shard(distinct, shards):
             steps[at] = uncompressed(said[s], np.uint16)
-        each = np.repeat(steps * STEP, np.diff(np.append(head, len(codes))))
-        surprise = np.bincount(text, weights=each, minlength=len(rows)) if len(rows) else np.zeros(0)
+        steps *= STEP
+        surprise, which = np.zeros(len(rows)), -1
+        for a in range(0, len(both), BLOCK):
+            at = np.cumsum(new[a : a + BLOCK]) + which
+            which = at[-1]
+            surprise += np.bincount((both[a : a + BLOCK] & np.uint64((1 << bits) - 1)).astype(np.int64), weights=steps[at], minlength=len(rows))
         return pa.table({"row": rows.column(0).cast(row_type), "n_bytes": pa.array(sizes), "surprise": pa.array(surprise)})
 
     from pyspark.sql.pandas.types import to_arrow_type
