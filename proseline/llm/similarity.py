@@ -22,6 +22,8 @@ WORDS, FINGERPRINTS, BITS = 8, 72, 40
 RADIUS = 2
 #: Pairs that differ in more of all bits are far from similar (unrelated texts: 256 of 512) and not compared.
 FAR = 150
+#: Partners that a text is compared with before components are first made; the others follow where they are still apart.
+FIRST = 8
 #: Texts whose variants are made at once.
 BATCH = 1400
 #: Digests that are sent to all tasks; beyond it they are joined.
@@ -78,10 +80,10 @@ def _texts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, star): distinct pairs of node numbers that share a variant of a fingerprint.
+    """(b, partners): for each node number the lesser ones that it is to be compared with.
 
-    At each variant the nodes are paired with the least of them (star), and each with the
-    next one, so a variant of n nodes gives 2 n pairs at most, and one of three or fewer gives all.
+    At each variant of a fingerprint the nodes are paired with the least of them, and each with the
+    next one, so a variant of three or fewer gives all pairs, and a node has two partners a variant at most.
     """
     words = [F.col(f"w{k}") for k in range(WORDS)]
     packed = saved(pack_rows(nodes.select("node", *words), BATCH))
@@ -100,12 +102,23 @@ def candidates(nodes: DataFrame) -> DataFrame:
         beside = np.zeros(len(node), bool)
         beside[1:] = (variant[1:] == variant[:-1]) & (node[:-1] != low[1:])
         before = np.r_[node[:1], node[:-1]]
-        rows = np.stack([np.r_[low[star], before[beside]], np.r_[node[star], node[beside]], np.r_[np.ones(star.sum(), np.int64), np.zeros(beside.sum(), np.int64)]], axis=1)
+        rows = np.stack([np.r_[low[star], before[beside]], np.r_[node[star], node[beside]]], axis=1)
         rows = np.unique(rows, axis=0) if len(rows) else rows
-        return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1]), "star": pa.array(rows[:, 2].astype(np.int32))})
+        return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1])})
 
-    found = shared_variants(packed, variants, total).groupBy("bucket").applyInArrow(pair, "a long, b long, star int")
-    return found.groupBy("a", "b").agg(F.max("star").alias("star"))
+    found = shared_variants(packed, variants, total).groupBy("bucket").applyInArrow(pair, "a long, b long")
+    return found.groupBy("b").agg(F.collect_set("a").alias("partners"))
+
+
+def unsettled(lists: DataFrame, tied: DataFrame) -> DataFrame:
+    """(a, b): the pairs of ``lists`` whose ends are in different components of ``tied``.
+
+    A component is looked up once for a node's whole list, and once for a partner and all the nodes of one component that have it.
+    """
+    label = lambda name: tied.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
+    pairs = lists.join(label("b"), "b", "left").select("b", F.coalesce("cb", "b").alias("cb"), F.explode("partners").alias("a"))
+    apart = pairs.select("a", "cb").distinct().join(label("a"), "a", "left").where(F.coalesce("ca", "a") != F.col("cb")).select("a", "cb")
+    return pairs.join(apart, ["a", "cb"], "left_semi").select("a", "b")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -133,8 +146,8 @@ def similar_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5) ->
     distinct text has FINGERPRINTS fingerprints of BITS bits, drawn from its SimHash bits, and emits each one's
     ball of RADIUS / 2; texts that share a variant are candidates. Most of those that are not similar
     are told by all bits together; the others count if their whole sets are similar enough.
-    Of each variant's nodes the least is compared with all others first; neighbours are
-    compared where that left them apart.
+    A node is compared with FIRST of its partners, drawn by hash, and then with all others that this
+    left in another component: a group costs few comparisons a text, however many pairs it has.
     """
     spark = docs.sparkSession
     texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))).alias("digest"), F.col(f"`{text_col}`").alias("text"))
@@ -155,26 +168,29 @@ def similar_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5) ->
     signed = texts.mapInArrow(sign, "digest binary, n int, " + ", ".join(f"w{k} long" for k in range(WORDS)))
     nodes = saved(signed.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", *(f"w{k}" for k in range(WORDS))))))
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())  # of written rows: the same whenever it is asked for
-    found = candidates(nodes)
     side = lambda name, n: nodes.select(F.col("node").alias(name), F.col("n").alias(n), F.array(*(f"w{k}" for k in range(WORDS))).alias(f"w{name}"))
     apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     near = (F.least("na", "nb") * UNDER >= F.greatest("na", "nb") * OVER) & (apart <= FAR)
-    pairs = saved(found.join(side("a", "na"), "a").join(side("b", "nb"), "b").where(near).select("a", "b", "star"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = saved(nodes.select("node", "digest").join(ends, "node"))
-    small = wanted.count() <= MOST_BROADCAST
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _texts(batches, shingle):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "hashes"])
 
-    one_each = texts.join(F.broadcast(wanted) if small else wanted, "digest").select("node", "text").mapInArrow(whole, "node long, hashes binary")
-    sets = saved(one_each.groupBy("node").agg(F.first("hashes").alias("hashes")))
-    links = saved(similar(pairs.where("star = 1").select("a", "b"), sets))
+    def linked(found: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are similar, by all bits and then by the whole sets."""
+        pairs = saved(found.join(side("a", "na"), "a").join(side("b", "nb"), "b").where(near).select("a", "b"))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = saved(nodes.select("node", "digest").join(ends, "node"))
+        small = wanted.count() <= MOST_BROADCAST
+        one_each = texts.join(F.broadcast(wanted) if small else wanted, "digest").select("node", "text").mapInArrow(whole, "node long, hashes binary")
+        return saved(similar(pairs, saved(one_each.groupBy("node").agg(F.first("hashes").alias("hashes")))))
+
+    mixed = F.array_sort(F.transform("partners", lambda a: F.struct(F.xxhash64(a, F.col("b")).alias("order"), a.alias("a"))))
+    lists = saved(candidates(nodes).select("b", F.transform(mixed, lambda x: x["a"]).alias("partners")))
+    links = linked(lists.select("b", F.explode(F.slice("partners", 1, FIRST)).alias("a")))
     tied = saved(components(links))
-    label = lambda name: tied.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
-    rest = pairs.where("star = 0").join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = saved(similar(saved(rest), sets))
+    rest = lists.where(F.size("partners") > FIRST).select("b", F.slice("partners", FIRST + 1, F.size("partners")).alias("partners"))
+    more = linked(saved(unsettled(rest, tied)))
     tied = saved(components(links.union(more))) if more.count() else tied
     digest = nodes.select("node", "digest")
     named = digest.join(tied.select("component").distinct().withColumnRenamed("component", "node"), "node").select(F.col("node").alias("component"), F.col("digest").alias("root"))
