@@ -89,6 +89,7 @@ def _crc_of_byte(x: int) -> int:
 
 _STEP = f"xor(c >> 8, [{', '.join(str(_crc_of_byte(x)) for x in range(256))}][xor(c & 255, x) + 1])"
 
+#: grown_shard is null under this law; frames of both engines show an all-null column alike where it is a DOUBLE.
 ORACLE_OP3 = f"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 h AS (SELECT doc_id, octet_length(b) + 1 AS size, hex(b) AS h FROM d),
@@ -96,5 +97,5 @@ x AS (SELECT doc_id, size, list_transform(range(0, size - 1), lambda i: (strpos(
 c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: {_STEP}), 4294967295::BIGINT) AS crc FROM x),
 p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, crc, size ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM c),
 s AS (SELECT *, least(7, (2 * start + size) * 8 // (2 * total))::INTEGER AS shard FROM p)
-SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start) - 1 AS slot, NULL::INTEGER AS grown_shard, start::BIGINT AS start FROM s
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start) - 1 AS slot, NULL::DOUBLE AS grown_shard, start::BIGINT AS start FROM s
 """
