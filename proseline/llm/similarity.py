@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proseline.llm.common import components, saved, utf8
+from proseline.llm.common import components, local_roots, ranges, saved, shuffle_partitions, slices, utf8
 from proseline.llm.exchange import pack_rows, shared_variants, variant_rows
 
 #: Texts link at a similarity of OVER / UNDER or more.
@@ -22,8 +22,8 @@ WORDS, FINGERPRINTS, BITS = 8, 72, 40
 RADIUS = 2
 #: Pairs that differ in more of all bits are far from similar (unrelated texts: 256 of 512) and not compared.
 FAR = 150
-#: Partners that a text is compared with before components are first made; the others follow where they are still apart.
-FIRST = 8
+#: A block is cut into parts of PART texts, PARTS at most, unless a part has more hashes than MOST_HASHES; two parts meet in a task.
+PART, PARTS, MOST_HASHES = 64, 32, 4_000_000
 #: Texts whose variants are made at once.
 BATCH = 1400
 #: Digests that are sent to all tasks; beyond it they are joined.
@@ -79,64 +79,106 @@ def _texts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa
             yield batch, [shingles(bytes(data[x:y]), shingle) for x, y in zip(at, at[1:])]
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(b, partners): for each node number the lesser ones that it is to be compared with.
+def ties(items: DataFrame, ball: np.ndarray) -> DataFrame:
+    """(a, b): ties that connect all items (item, words) that share a variant, each fingerprint changed by the masks of ``ball``.
 
-    At each variant of a fingerprint the nodes are paired with the least of them, and each with the
-    next one, so a variant of three or fewer gives all pairs, and a node has two partners a variant at most.
+    A bucket emits a tie for an item and component of its own, so no list of pairs arises. Rows of one item count as one.
     """
-    words = [F.col(f"w{k}") for k in range(WORDS)]
-    packed = saved(pack_rows(nodes.select("node", *words), BATCH))
-    total = (packed.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // (8 * (1 + WORDS)) * FINGERPRINTS * len(_BALL)
+    packed = saved(pack_rows(items, BATCH))
+    total = (packed.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // (8 * (1 + WORDS)) * FINGERPRINTS * len(_BALL)  # few numbers are dealt as widely as many
 
     def variants(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
         rows = np.frombuffer(blob, np.int64).reshape(-1, 1 + WORDS)
         values = fingerprint_values(np.ascontiguousarray(rows[:, 1:]).view(np.uint8))
-        return (_BALL[:, None] ^ values.ravel()).ravel(), np.tile(np.repeat(rows[:, 0], FINGERPRINTS), len(_BALL))
+        return (ball[:, None] ^ values.ravel()).ravel(), np.tile(np.repeat(rows[:, 0], FINGERPRINTS), len(ball))
 
-    def pair(table: pa.Table) -> pa.Table:
-        node, variant, begin = variant_rows(table)
-        node = node.view(np.int64)
-        low = node[begin][variant] if len(node) else node
-        star = node != low
-        beside = np.zeros(len(node), bool)
-        beside[1:] = (variant[1:] == variant[:-1]) & (node[:-1] != low[1:])
-        before = np.r_[node[:1], node[:-1]]
-        rows = np.stack([np.r_[low[star], before[beside]], np.r_[node[star], node[beside]]], axis=1)
-        rows = np.unique(rows, axis=0) if len(rows) else rows
-        return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1])})
+    def tie(table: pa.Table) -> pa.Table:
+        item, variant, begin = variant_rows(table)
+        least = item[begin][variant]
+        own = item != least
+        nodes, ends = np.unique(np.concatenate([item[own], least[own]]), return_inverse=True)
+        half = len(ends) // 2
+        root = nodes[local_roots(len(nodes), ends[:half], ends[half:])]
+        tied = nodes != root
+        return pa.table({"a": pa.array(nodes[tied].view(np.int64)), "b": pa.array(root[tied].view(np.int64))})
 
-    found = shared_variants(packed, variants, total).groupBy("bucket").applyInArrow(pair, "a long, b long")
-    return found.groupBy("b").agg(F.collect_set("a").alias("partners"))
+    return shared_variants(packed, variants, total).groupBy("bucket").applyInArrow(tie, "a long, b long")
 
 
-def unsettled(lists: DataFrame, tied: DataFrame) -> DataFrame:
-    """(a, b): the pairs of ``lists`` whose ends are in different components of ``tied``.
+def blocks(nodes: DataFrame) -> DataFrame:
+    """(node, block): the nodes that reach others by shared variants, with the same number for all that reach each other.
 
-    A component is looked up once for a node's whole list, and once for a partner and all the nodes of one component that have it.
+    Equal fingerprints come first, as they are few to send. What they connect goes under one number into
+    the balls, so that a group of near copies is not met again at each of its variants.
     """
-    label = lambda name: tied.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
-    pairs = lists.join(label("b"), "b", "left").select("b", F.coalesce("cb", "b").alias("cb"), F.explode("partners").alias("a"))
-    apart = pairs.select("a", "cb").distinct().join(label("a"), "a", "left").where(F.coalesce("ca", "a") != F.col("cb")).select("a", "cb")
-    return pairs.join(apart, ["a", "cb"], "left_semi").select("a", "b")
+    words = [f"w{k}" for k in range(WORDS)]
+    alike = saved(components(ties(nodes.select("node", *words), _BALL[:1])))
+    named = saved(nodes.join(alike, "node", "left").select("node", F.coalesce("component", "node").alias("name"), F.col("component").isNotNull().alias("alike"), *words))
+    joined = saved(components(ties(named.select("name", *words), _BALL))).select(F.col("node").alias("name"), "component")
+    return named.join(joined, "name", "left").where("alike or component is not null").select("node", F.coalesce("component", "name").alias("block"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct (a, b) whose sets are similar enough."""
+def tiles(members: DataFrame, parallel: int) -> DataFrame:
+    """The rows of members (node, block, n), dealt so that any two of one block meet in one tile: with tile, i, j and part.
+
+    A block is cut into parts, and a tile has two of them, or one. So a row has at most PARTS copies,
+    unless that many parts of a block are too long for a task. Blocks of one part share tiles.
+    """
+    size = members.groupBy("block").agg(F.greatest(F.least(F.lit(PARTS), F.ceil(F.count("*") / PART)), F.ceil(F.sum("n") / MOST_HASHES)).alias("parts"))
+    cut = members.join(size, "block").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    return met.withColumn("tile", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("block"), F.lit(parallel).cast("long"))).otherwise(F.xxhash64("block", "i", "j"))).drop("parts", "other")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(common * UNDER >= (len(both) - common) * OVER)
-            yield pa.RecordBatch.from_arrays(list(batch.select(["a", "b"]).filter(pa.array(good, pa.bool_())).columns), ["a", "b"])
 
-    one, other = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def similar_roots(sets: list[np.ndarray], bits: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """For each set the first of those that it reaches by links; if there are two parts, by links between them.
+
+    Pairs that are connected already are not compared.
+    """
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    begin = np.cumsum(n) - n
+    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, root = np.zeros(len(distinct), bool), np.arange(len(sets))
+    bits = np.ascontiguousarray(bits).view(np.uint64)  # of signed numbers the bits of the absolute value would be counted
+    two = part.min() != part.max()
+    for x in range(len(sets) - 1):
+        y = x + 1 + np.flatnonzero(root[x + 1 :] != root[x])
+        if two:
+            y = y[part[y] != part[x]]
+        y = y[np.minimum(n[y], n[x]) * UNDER >= np.maximum(n[y], n[x]) * OVER]
+        y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64) <= FAR]
+        if not len(y):
+            continue
+        own = ids[begin[x] : begin[x] + n[x]]
+        mark[own] = True
+        for a, b in slices(np.concatenate([[0], np.cumsum(n[y])]), 1 << 21):
+            some = y[a:b]
+            at = np.repeat(begin[some], n[some]) + ranges(n[some])
+            common = np.add.reduceat(mark[ids[at]], np.cumsum(n[some]) - n[some], dtype=np.int64)
+            good = some[common * UNDER >= (n[some] + n[x] - common) * OVER]
+            if len(good):
+                met = np.unique(root[np.append(good, x)])
+                root[np.isin(root, met)] = met[0]
+        mark[own] = False
+    return root
+
+
+def links_of_tile(table: pa.Table) -> pa.Table:
+    """(a, b): ties that connect the nodes of each of a tile's blocks as their links do; a tie for a node at most."""
+    block, i, j, part, node = (np.asarray(table.column(c)) for c in ("block", "i", "j", "part", "node"))
+    bits = np.stack([np.asarray(table.column(f"w{k}")) for k in range(WORDS)], axis=1)
+    hashes = table.column("hashes").to_pylist()
+    order = np.lexsort((node, part, j, i, block))
+    key = np.stack([block, i, j], axis=1)[order]
+    cuts = np.append(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]), len(order))
+    a, b = [node[:0]], [node[:0]]
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        rows = order[x:y]
+        root = similar_roots([np.frombuffer(hashes[k], np.uint64) for k in rows.tolist()], bits[rows], part[rows])
+        tied = root != np.arange(len(rows))
+        a.append(node[rows[tied]])
+        b.append(node[rows[root[tied]]])
+    return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
 
 def similar_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -144,10 +186,9 @@ def similar_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5) ->
 
     Texts link if the Jaccard similarity of their sets of word shingles is OVER / UNDER or more. Each
     distinct text has FINGERPRINTS fingerprints of BITS bits, drawn from its SimHash bits, and emits each one's
-    ball of RADIUS / 2; texts that share a variant are candidates. Most of those that are not similar
-    are told by all bits together; the others count if their whole sets are similar enough.
-    A node is compared with FIRST of its partners, drawn by hash, and then with all others that this
-    left in another component: a group costs few comparisons a text, however many pairs it has.
+    ball of RADIUS / 2; texts that reach each other by shared variants are a block. Within a block every
+    text is compared with every other, in tiles, unless the two are connected already: most of those that are
+    not similar are told by all bits together, the others by their whole sets. Pairs are never listed.
     """
     spark = docs.sparkSession
     texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))).alias("digest"), F.col(f"`{text_col}`").alias("text"))
@@ -168,30 +209,19 @@ def similar_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5) ->
     signed = texts.mapInArrow(sign, "digest binary, n int, " + ", ".join(f"w{k} long" for k in range(WORDS)))
     nodes = saved(signed.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", *(f"w{k}" for k in range(WORDS))))))
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())  # of written rows: the same whenever it is asked for
-    side = lambda name, n: nodes.select(F.col("node").alias(name), F.col("n").alias(n), F.array(*(f"w{k}" for k in range(WORDS))).alias(f"w{name}"))
-    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = (F.least("na", "nb") * UNDER >= F.greatest("na", "nb") * OVER) & (apart <= FAR)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _texts(batches, shingle):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "hashes"])
 
-    def linked(found: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are similar, by all bits and then by the whole sets."""
-        pairs = saved(found.join(side("a", "na"), "a").join(side("b", "nb"), "b").where(near).select("a", "b"))
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = saved(nodes.select("node", "digest").join(ends, "node"))
-        small = wanted.count() <= MOST_BROADCAST
-        one_each = texts.join(F.broadcast(wanted) if small else wanted, "digest").select("node", "text").mapInArrow(whole, "node long, hashes binary")
-        return saved(similar(pairs, saved(one_each.groupBy("node").agg(F.first("hashes").alias("hashes")))))
-
-    mixed = F.array_sort(F.transform("partners", lambda a: F.struct(F.xxhash64(a, F.col("b")).alias("order"), a.alias("a"))))
-    lists = saved(candidates(nodes).select("b", F.transform(mixed, lambda x: x["a"]).alias("partners")))
-    links = linked(lists.select("b", F.explode(F.slice("partners", 1, FIRST)).alias("a")))
+    members = saved(nodes.join(blocks(nodes), "node"))
+    small = members.count() <= MOST_BROADCAST
+    wanted = members.select("node", "digest")
+    one_each = texts.join(F.broadcast(wanted) if small else wanted, "digest").select("node", "text").mapInArrow(whole, "node long, hashes binary")
+    sets = one_each.groupBy("node").agg(F.first("hashes").alias("hashes"))
+    met = tiles(members.drop("digest").join(sets, "node"), 4 * shuffle_partitions(spark))
+    links = saved(met.groupBy("tile").applyInArrow(links_of_tile, "a long, b long"))
     tied = saved(components(links))
-    rest = lists.where(F.size("partners") > FIRST).select("b", F.slice("partners", FIRST + 1, F.size("partners")).alias("partners"))
-    more = linked(saved(unsettled(rest, tied)))
-    tied = saved(components(links.union(more))) if more.count() else tied
     digest = nodes.select("node", "digest")
     named = digest.join(tied.select("component").distinct().withColumnRenamed("component", "node"), "node").select(F.col("node").alias("component"), F.col("digest").alias("root"))
     return digest.join(tied, "node").join(named, "component").select("digest", "root")

@@ -1,6 +1,9 @@
 import random
 
-from proseline.llm import simhash
+import numpy as np
+
+from proseline.llm import simhash, similarity
+from proseline.llm.common import local_roots
 from tests.llm.tables import docs
 
 
@@ -61,3 +64,46 @@ def test_columns_of_any_name_and_repeated_rows(spark):
     out = simhash.keep_one(table)
     assert out.columns == table.columns and {(r["__id"], r["__digest"], r["__lang"]) for r in out.collect()} == {(7, 8, 9)}
     assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, "four five"), (1, "one two three"), (2, "")]
+
+
+def test_a_group_of_near_copies_lists_no_pairs(spark, monkeypatch):
+    """Copies of one text changed in 1 to 6 places: many are near, few of them similar. Everything that is written stays within a few rows a text."""
+    r = random.Random(7)
+    own = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(300):
+        new = list(own)
+        for k in r.sample(range(len(new)), 1 + i % 6):
+            new[k] = f"x{r.random()}"
+        rows.append((i, " ".join(new)))
+    written = []
+
+    def counted(df, keep=similarity.saved):
+        out = keep(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "saved", counted)
+    monkeypatch.setattr(similarity, "PART", 20, raising=False)  # one block is cut into many parts
+    kept = {x.doc_id for x in simhash.keep_one(docs(spark, rows)).collect()}
+    want = kept_by_brute_force(rows)
+    assert 100 < len(want) < 250 and want <= kept and len(kept - want) <= 0.05 * (len(rows) - len(want))
+    assert max(written) <= 8 * len(rows)
+
+
+def test_links_between_and_within_the_parts_of_a_block():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(80):
+        x = base.copy()
+        at = r.choice(60, r.integers(1, 12), replace=False)
+        x[at] = r.integers(0, 1 << 63, len(at), dtype=np.uint64)
+        sets.append(np.unique(x))
+    bits = np.stack([similarity.simhash_bits(x) for x in sets]).view(np.int64)
+    part = np.repeat([0, 1], 40)
+    pairs = [(a, b) for a in range(80) for b in range(a + 1, 80) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    for parts in (part, part * 0):
+        some = [(a, b) for a, b in pairs if parts[a] != parts[b] or not parts.any()]
+        want = local_roots(80, *np.array(some).T)
+        assert np.array_equal(similarity.similar_roots(sets, bits, parts), want)
