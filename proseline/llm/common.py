@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,46 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return body, offs - base
 
 
+def release() -> None:
+    """Freed memory goes back to the system; else a Python worker keeps it, beside its executor's JVM, for as long as it lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other libraries decide for themselves
+    if trim:
+        trim(0)
+
+
+def releasing(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that leaves no freed memory behind when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return run
+
+
+def releasing_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a function of a group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        release()
+        return out
+
+    return run
+
+
+def releasing_groups(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a function of two groups."""
+
+    def run(own: pa.Table, other: pa.Table) -> pa.Table:
+        out = f(own, other)
+        release()
+        return out
+
+    return run
+
+
 def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of rows with about ``most`` bytes each, one row at least."""
     a, n = 0, len(offsets) - 1
@@ -184,7 +225,7 @@ def pack_batches(df: DataFrame, text_col: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq]), pa.array([blob], pa.binary())], ["batch", "blob"])
                 seq += 1
 
-    return source.mapInArrow(pack, "batch long, blob binary").repartition(shuffle_partitions(df.sparkSession), "batch")
+    return source.mapInArrow(releasing(pack), "batch long, blob binary").repartition(shuffle_partitions(df.sparkSession), "batch")
 
 
 def batch_rows(blob: bytes) -> pa.RecordBatch:

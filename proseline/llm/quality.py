@@ -11,7 +11,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import batch_rows, compressed, open_folder, pack_batches, put, saved, shared_folder, shuffle_partitions, slices, uncompressed, utf8
+from proseline.llm.common import batch_rows, compressed, open_folder, pack_batches, put, releasing, releasing_group, releasing_groups, saved, shared_folder, shuffle_partitions, slices, uncompressed, utf8
 
 #: Bytes of an n-gram. Five bytes and their counts are told apart by 40 bits.
 ORDER = 5
@@ -73,6 +73,20 @@ def _sum_equal(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return codes[head], np.add.reduceat(counts[order], head) if len(codes) else counts
 
 
+def _counted(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts, ascending, and their counts."""
+    codes = grams(body, offsets)
+    codes.sort()
+    head = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    return codes[head], np.diff(np.append(head, len(codes)))
+
+
+def text_numbers(offsets: np.ndarray, a: int, b: int) -> np.ndarray:
+    """For the bytes from a to b the number of the text that each is in."""
+    first, last = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, b, "left"))
+    return np.repeat(np.arange(first, last, dtype=np.uint64), np.diff(np.clip(offsets[first : last + 1], a, b)))
+
+
 def _by_shard(codes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, places in codes), in the order of codes."""
     own = shard_of(codes, shards)
@@ -196,25 +210,23 @@ def train(texts: DataFrame) -> Model:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            codes, n = _sum_equal(*(np.concatenate(x) for x in zip(*held)))
+            codes, n = np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held])
+            held.clear()
+            codes, n = _sum_equal(codes, n)
             for a in range(0, len(codes), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(codes[a : a + (1 << 16)].view(np.int64)), pa.array(n[a : a + (1 << 16)])], ["code", "n"])
 
         for batch in batches:
             body, offsets = utf8(batch.column(0))
             for a, b in slices(offsets, BATCH_BYTES):
-                codes = grams(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                codes.sort()
-                head = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
-                held.append((codes[head], np.diff(np.append(head, len(codes)))))
+                held.append(_counted(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
             if sum(len(c) for c, _ in held) > 4_000_000:
                 yield from flush()
-                held = []
         if held:
             yield from flush()
 
     spark = texts.sparkSession
-    counts = saved(texts.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    counts = saved(texts.select("text").mapInArrow(releasing(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
     shards = min(1 << 16, max(8, counts.count() // SHARD_GRAMS))
     folder = shared_folder(spark, "model")
     store, path = open_folder(folder)
@@ -235,7 +247,7 @@ def train(texts: DataFrame) -> Model:
         rows = Shard(table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()).statistics()
         return pa.table({x: pa.array(c, pa.int64()) for x, c in zip(("level", "key", "n"), zip(*rows))})
 
-    rows = counts.mapInArrow(assign, "shard int, code long, n long").groupBy("shard").applyInArrow(write, "level long, key long, n long")
+    rows = counts.mapInArrow(assign, "shard int, code long, n long").groupBy("shard").applyInArrow(releasing_group(write), "level long, key long, n long")
     return Model(folder, shards, Lower([tuple(r) for r in rows.groupBy("level", "key").agg(F.sum("n").alias("n")).collect()]))
 
 
@@ -264,7 +276,7 @@ def perplexities(df: DataFrame, model: Model, text_col: str = "text") -> DataFra
     size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     spark, shards = df.sparkSession, model.shards
     salts = 1 + size // (ANSWERED * shards)
-    asked = packed.mapInArrow(ask, "shard int, batch long, codes binary").withColumn("salt", F.pmod(F.xxhash64("batch"), F.lit(salts)).cast("int"))
+    asked = packed.mapInArrow(releasing(ask), "shard int, batch long, codes binary").withColumn("salt", F.pmod(F.xxhash64("batch"), F.lit(salts)).cast("int"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, scorer = -1, None
@@ -276,7 +288,7 @@ def perplexities(df: DataFrame, model: Model, text_col: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([s], pa.int32()), pa.array([compressed(steps.astype(np.uint16))], pa.binary())], ["batch", "shard", "said"])
 
     dealt = asked.select("shard", "codes", "batch", "salt").repartition(max(shuffle_partitions(spark), min(shards * salts, 100_000)), "shard", "salt").sortWithinPartitions("shard")
-    answers = dealt.select("shard", "codes", "batch").mapInArrow(answer, "batch long, shard int, said binary")
+    answers = dealt.select("shard", "codes", "batch").mapInArrow(releasing(answer), "batch long, shard int, said binary")
 
     def score(own: pa.Table, got: pa.Table) -> pa.Table:
         if not len(own):
@@ -287,13 +299,15 @@ def perplexities(df: DataFrame, model: Model, text_col: str = "text") -> DataFra
         bits = max(1, int(len(rows)).bit_length())
         both = grams(body, offsets)
         both <<= np.uint64(bits)
-        both |= np.repeat(np.arange(len(rows), dtype=np.uint64), sizes)
+        for a in range(0, len(both), BLOCK):
+            both[a : a + BLOCK] |= text_numbers(offsets, a, min(a + BLOCK, len(both)))
         both.sort()
-        codes = both >> np.uint64(bits)
-        new = np.ones(len(codes), bool)
-        np.not_equal(codes[1:], codes[:-1], out=new[1:])
-        distinct = codes[new]
-        del codes
+        new, found = np.ones(len(both), bool), [np.zeros(0, np.uint64)]
+        for a in range(0, len(both), BLOCK):
+            codes = both[max(a - 1, 0) : a + BLOCK] >> np.uint64(bits)  # with the one before
+            np.not_equal(codes[1:], codes[:-1], out=new[max(a, 1) : a + BLOCK])
+            found.append(codes[-len(new[a : a + BLOCK]) :][new[a : a + BLOCK]])
+        distinct = np.concatenate(found)
         steps = np.zeros(len(distinct), np.float64)
         said = dict(zip(got.column("shard").to_pylist(), got.column("said").to_pylist(), strict=True))
         for s, at in _by_shard(distinct, shards):
@@ -309,7 +323,7 @@ def perplexities(df: DataFrame, model: Model, text_col: str = "text") -> DataFra
     from pyspark.sql.pandas.types import to_arrow_type
 
     row_type = to_arrow_type(kind)
-    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, f"row {kind.simpleString()}, n_bytes long, surprise double")
+    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(releasing_groups(score), f"row {kind.simpleString()}, n_bytes long, surprise double")
 
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proseline.llm.common import components, local_roots, ranges, saved, shuffle_partitions, slices, utf8
+from proseline.llm.common import components, local_roots, ranges, releasing, releasing_group, saved, shuffle_partitions, slices, utf8
 from proseline.llm.exchange import pack_rows, shared_variants, variant_rows
 
 #: Texts link at a similarity of OVER / UNDER or more.
@@ -94,15 +94,17 @@ def ties(items: DataFrame, ball: np.ndarray) -> DataFrame:
 
     def tie(table: pa.Table) -> pa.Table:
         item, variant, begin = variant_rows(table)
-        least = item[begin][variant]
-        own = item != least
-        nodes, ends = np.unique(np.concatenate([item[own], least[own]]), return_inverse=True)
-        half = len(ends) // 2
-        root = nodes[local_roots(len(nodes), ends[:half], ends[half:])]
+        nodes = np.unique(item)
+        own = np.searchsorted(nodes, item).astype(np.int32)
+        least = own[begin][variant]
+        del item, variant, begin
+        other = own != least
+        once = np.unique(own[other].astype(np.int64) * len(nodes) + least[other])  # two items often share many variants
+        root = nodes[local_roots(len(nodes), once // len(nodes), once % len(nodes))] if len(nodes) else nodes
         tied = nodes != root
         return pa.table({"a": pa.array(nodes[tied].view(np.int64)), "b": pa.array(root[tied].view(np.int64))})
 
-    return shared_variants(packed, variants, total).groupBy("bucket").applyInArrow(tie, "a long, b long")
+    return shared_variants(packed, variants, total).groupBy("bucket").applyInArrow(releasing_group(tie), "a long, b long")
 
 
 def blocks(nodes: DataFrame) -> DataFrame:
@@ -206,7 +208,7 @@ def similar_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5) ->
                 bits = np.stack([simhash_bits(x) for x in sets]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS))], ["digest", "n", *(f"w{k}" for k in range(WORDS))])
 
-    signed = texts.mapInArrow(sign, "digest binary, n int, " + ", ".join(f"w{k} long" for k in range(WORDS)))
+    signed = texts.mapInArrow(releasing(sign), "digest binary, n int, " + ", ".join(f"w{k} long" for k in range(WORDS)))
     nodes = saved(signed.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", *(f"w{k}" for k in range(WORDS))))))
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())  # of written rows: the same whenever it is asked for
 
@@ -217,10 +219,10 @@ def similar_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5) ->
     members = saved(nodes.join(blocks(nodes), "node"))
     small = members.count() <= MOST_BROADCAST
     wanted = members.select("node", "digest")
-    one_each = texts.join(F.broadcast(wanted) if small else wanted, "digest").select("node", "text").mapInArrow(whole, "node long, hashes binary")
+    one_each = texts.join(F.broadcast(wanted) if small else wanted, "digest").select("node", "text").mapInArrow(releasing(whole), "node long, hashes binary")
     sets = one_each.groupBy("node").agg(F.first("hashes").alias("hashes"))
     met = tiles(members.drop("digest").join(sets, "node"), 4 * shuffle_partitions(spark))
-    links = saved(met.groupBy("tile").applyInArrow(links_of_tile, "a long, b long"))
+    links = saved(met.groupBy("tile").applyInArrow(releasing_group(links_of_tile), "a long, b long"))
     tied = saved(components(links))
     digest = nodes.select("node", "digest")
     named = digest.join(tied.select("component").distinct().withColumnRenamed("component", "node"), "node").select(F.col("node").alias("component"), F.col("digest").alias("root"))

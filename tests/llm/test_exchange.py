@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from proseline.llm import exchange
@@ -40,3 +43,47 @@ def test_numbers_met_again(spark, fan_bits, group):
     for k, v in table.items():
         assert np.array_equal(got[k], np.unique(v[np.isin(v, value[times > 1])]))
     assert hot == {int(v) for v in value if sum(v in t for t in table.values()) > 2}
+
+
+class _Plan:
+    """Stands for a DataFrame and its session; keeps the function that is applied last."""
+
+    def __getattr__(self, name):
+        return lambda *a, **b: self
+
+    sparkSession = conf = property(lambda self: self)
+    get = staticmethod(lambda *a: "4")
+
+    def applyInArrow(self, f, schema):
+        self.f = f
+        return self
+
+
+def test_a_bucket_takes_little_more_memory_than_its_numbers():
+    rng = np.random.default_rng(7)
+    lists = [np.unique(rng.integers(0, 1 << 27, 100_000, dtype=np.uint64)) for _ in range(10)]
+    plan = _Plan()
+    exchange.met_again(plan, None, 3, 30)
+    table = pa.table({"bucket": [2] * 10, "batch": list(range(10)), "data": pa.array([exchange.pack_steps(x) for x in lists], pa.binary())})
+    tracemalloc.start()
+    out = plan.f(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    number, times = np.unique(np.concatenate(lists), return_counts=True)
+    assert out.column("batch").to_pylist() == list(range(10))
+    for x, data in zip(lists, out.column("data").to_pylist(), strict=True):
+        assert np.array_equal(exchange.unpack_steps(data), x[np.isin(x, number[times > 1])] | np.uint64(2 << 27))
+    assert peak < 20 * sum(map(len, lists))  # 8 bytes are the numbers themselves
+
+
+def test_variants_are_sorted_in_little_memory():
+    rng = np.random.default_rng(8)
+    rows = np.stack([rng.integers(0, 1 << 17, 1 << 19), rng.integers(0, 1 << 9, 1 << 19)], axis=1).astype(np.uint64)
+    table = pa.table({"data": pa.array([rows[a : a + 1000].tobytes() for a in range(0, len(rows), 1000)], pa.binary())})
+    tracemalloc.start()
+    item, variant, begin = exchange.variant_rows(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    once = np.unique(rows, axis=0)
+    assert np.array_equal(item, once[:, 1]) and np.array_equal(once[begin, 0][variant], once[:, 0])
+    assert peak < 40 * len(rows)
